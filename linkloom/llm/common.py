@@ -6,7 +6,9 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +74,30 @@ def release(df: DataFrame) -> None:
             _drop(df.sparkSession, path)
 
 
+def in_groups(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Apply run to frames that each hold many whole groups, sorted by keys.
+
+    For small groups that is far cheaper than a call for each; a group must fit in memory, so
+    callers cut large groups into blocks first.
+    """
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = (held[keys] == held[keys].iloc[-1]).all(axis=1).to_numpy()
+            cut = len(held) - int(last[::-1].cumprod().sum())
+            if cut:
+                yield run(held.iloc[:cut].reset_index(drop=True))
+                held = held.iloc[cut:].reset_index(drop=True)
+        if held is not None:
+            yield run(held)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(whole, schema)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -> DataFrame:
     """Connected components of an edge list: one row (id, root) per vertex, root the smallest id.
 

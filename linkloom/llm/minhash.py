@@ -10,8 +10,8 @@ registers discards pairs that 0.8 does not explain; what is left is confirmed on
 No group emits all its pairs. In a star round every class is paired with one of its buckets'
 representatives only, and only across components found so far; later rounds choose other
 representatives. The last round compares, inside the buckets that still hold several components,
-sketches block by block in memory and emits only pairs that the likelihood accepts, so that a
-component misses no link that a band has met.
+sketches and then full sets block by block in memory and emits only links that join components,
+so that a component misses no link that a band has met.
 
 Rows: a text without words has the empty set and links with nothing; null text is empty; rows
 with one doc_id are one document; a null doc_id has component null and isn't kept. Rows that
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import components, materialise, release
+from linkloom.llm.common import components, in_groups, materialise, release
 from linkloom.llm.words import shingles, word_hashes
 
 #: Bands of registers. A pair with similarity 0.8 misses all bands with probability 2e-6.
@@ -38,10 +38,12 @@ REGISTERS = BANDS * PER_BAND
 #: SetSketch parameters: base, rate, largest register.
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 1
 #: A pair is discarded if its best likelihood exceeds that of the threshold by so many nats.
-NATS = 12.0
-STAR_ROUNDS = 3
+NATS = 9.0
+STAR_ROUNDS = 2
 #: Members of a bucket that are compared with as many others in one task.
 BLOCK = 2048
+#: Shingles of a block at most, on average.
+BLOCK_SHINGLES = 1 << 23
 #: Bits of the filter of ids whose full sets are needed: at most 2**17 words reach the driver.
 FILTER_BITS = 23
 
@@ -173,36 +175,93 @@ def _estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
     return near.select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a long, b long").distinct()
 
 
-def _cross_pairs(members: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """All plausible pairs across components inside the buckets in members (bkey, band, id, comp).
+def _pairs_within(key: np.ndarray, skip) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows with the same key (sorted), one distance at a time, for all groups together."""
+    n, starts = len(key), np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    ends = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
+    i = np.arange(n)
+    distance = 1
+    while True:
+        i = i[i + distance < ends[i]]
+        if not len(i):
+            return
+        ok = ~skip(i, i + distance)
+        yield i[ok], i[ok] + distance
+        distance += 1
+
+
+def _plausible(frame: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, equal registers): pairs across components that a band meets here first and whose likelihood is plausible."""
+    x = np.frombuffer(b"".join(frame["sketch"]), "<u2").reshape(-1, REGISTERS)
+    bands = x.reshape(len(x), BANDS, PER_BAND)
+    comp, n, block, band = (frame[c].to_numpy() for c in ("comp", "n_shingles", "block", "band"))
+    crossed = (frame["p"] != frame["q"]).to_numpy()
+    key = np.unique(frame[["bkey", "p", "q"]].to_numpy(), axis=0, return_inverse=True)[1].ravel()
+    skip = lambda i, j: (comp[i] == comp[j]) | (crossed[i] & (block[i] == block[j])) | (100 * np.minimum(n[i], n[j]) < round(100 * threshold) * np.maximum(n[i], n[j]))
+    out = [(np.empty(0, np.int64),) * 3]
+    order = np.argsort(key, kind="stable")
+    for i, j in _pairs_within(key[order], lambda i, j: skip(order[i], order[j])):
+        for at in range(0, len(i), 16384):
+            a, b = order[i[at : at + 16384]], order[j[at : at + 16384]]
+            same = (bands[a] == bands[b]).all(axis=2)
+            first = same.argmax(axis=1) == band[a]
+            a, b = a[first], b[first]
+            if not len(a):
+                continue
+            up, down = (x[a] > x[b]).sum(1), (x[a] < x[b]).sum(1)
+            ok = likely(up, down, n[a].astype(float), n[b].astype(float), threshold)
+            out.append((a[ok], b[ok], (REGISTERS - up - down)[ok]))
+    return tuple(np.concatenate(v) for v in zip(*out))
+
 
-    A bucket is cut into blocks; a task compares two blocks in memory. A pair is emitted from the
-    first band that it shares only, if the likelihood accepts it.
+def _cross_links(members: DataFrame, reps: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame:
+    """Links that join the components inside the buckets in members (bkey, band, id, comp).
+
+    A bucket is cut into blocks; a task compares two blocks in memory, each pair only in the first
+    band that it shares. A first pass on sketches names the rows with a plausible partner; only
+    their full sets travel to the second, which confirms pairs, likeliest first, unless links
+    that it has found already connect them. Neither pass emits more than its rows.
     """
-    sizes = members.groupBy("bkey").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = members.join(sizes, "bkey").withColumn("blocks", blocks)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bkey", "band", "id", "comp", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    rows = rows.join(reps.select("id", "sketch", "n_shingles"), "id")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.vstack([np.frombuffer(v, "<u2") for v in pdf["sketch"]])
-        bands = x.reshape(len(x), BANDS, PER_BAND)
-        ids, comp, n, block = (pdf[c].to_numpy() for c in ("id", "comp", "n_shingles", "block"))
-        band, p, q = int(pdf["band"].iat[0]), pdf["p"].iat[0], pdf["q"].iat[0]
-        out = []
-        for i in range(len(x)):
-            j = np.flatnonzero((comp != comp[i]) & (ids > ids[i]) & ((block != block[i]) if p != q else True))
-            if not len(j):
+    threshold = threshold_pct / 100
+    sized = members.join(reps.select("id", "sketch", "n_shingles"), "id")
+    load = members.join(reps.select("id", "n_shingles"), "id").groupBy("bkey").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("words"))
+    load = load.select("bkey", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("words") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = sized.join(load, "bkey").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
+    keys = ["bkey", "p", "q"]
+
+    def name(frame: pd.DataFrame) -> pd.DataFrame:
+        i, j, _ = _plausible(frame, threshold)
+        return frame.iloc[np.unique(np.concatenate([i, j]))][[*keys, "band", "id", "comp", "block"]]
+
+    named = in_groups(rows.select(*keys, "band", "id", "comp", "block", "sketch", "n_shingles"), keys, name, "bkey long, p int, q int, band int, id long, comp long, block int")
+    named = materialise(named, "minhash-plausible")
+    full = named.join(reps.select("id", "sketch", "n_shingles"), "id").join(sets, "id")
+
+    def confirm(frame: pd.DataFrame) -> pd.DataFrame:
+        i, j, same = _plausible(frame, threshold)
+        ids, comp, found = frame["id"].to_numpy(), frame["comp"].to_numpy(), []
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
+        have = [np.frombuffer(v, "<u8") for v in frame["shingles"]]
+        for k in np.argsort(-same, kind="stable"):
+            a, b = i[k], j[k]
+            x, y = find(comp[a]), find(comp[b])
+            if x == y:
                 continue
-            j = j[~(bands[j, :band] == bands[i, :band]).all(axis=2).any(axis=1)]
-            ok = likely((x[i] > x[j]).sum(1), (x[i] < x[j]).sum(1), np.full(len(j), n[i], float), n[j].astype(float), threshold)
-            out.append(pd.DataFrame({"a": ids[i], "b": ids[j[ok]]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+            both = len(np.intersect1d(have[a], have[b], assume_unique=True))
+            if 100 * both >= threshold_pct * (len(have[a]) + len(have[b]) - both):
+                root[x] = y
+                found.append((ids[a], ids[b]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("bkey", "p", "q").applyInPandas(run, "a long, b long")
+    return in_groups(full.select(*keys, "band", "id", "comp", "block", "sketch", "n_shingles", "shingles"), keys, confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold_pct: int = 80, star_rounds: int = STAR_ROUNDS) -> DataFrame:
@@ -225,14 +284,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = materialise(full_sets(docs, ids, **of), "minhash-sets")
     links = member
     for turn in range(star_rounds + 1):
-        comp = components(links.unionByName(ids.select(F.col("id").alias("a"), F.col("id").alias("b"))) if turn else ids.select(F.col("id").alias("a"), F.col("id").alias("b"))) if turn else None
-        now = met.join(comp.withColumnRenamed("root", "comp"), "id") if turn else met.withColumn("comp", F.col("id"))
+        now = met.withColumn("comp", F.col("id"))
         if turn:
+            comp = components(links.unionByName(ids.select(F.col("id").alias("a"), F.col("id").alias("b"))))
+            now = met.join(comp.withColumnRenamed("root", "comp"), "id")
             # only buckets that still hold several components
             open_ = now.groupBy("bkey").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bkey")
             now = materialise(now.join(open_, "bkey"), "minhash-open")
         if turn == star_rounds:
-            near = _cross_pairs(now, reps, threshold)
+            new = _cross_links(now, reps, sets, threshold_pct)
         else:
             # a representative by a bijection of the ids that differs with band and turn
             salt = F.xxhash64("band", F.lit(turn))
@@ -243,9 +303,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 pairs = pairs.join(mark, "rep").where("comp <> rep_comp")
             # one representative per class and turn
             near = pairs.groupBy("id").agg(F.min("rep").alias("rep")).select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
-            near = _estimated(near, reps, threshold)
-        new = materialise(verified(near, sets, threshold_pct), "minhash-links")
-        links = links.unionByName(new)
+            new = verified(_estimated(near, reps, threshold), sets, threshold_pct)
+        links = links.unionByName(materialise(new, "minhash-links"))
     roots = components(links)
     out = feats.select("doc_id", "n_shingles").join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("root", "doc_id")
