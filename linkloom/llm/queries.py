@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import exact_dedup, language_id, minhash, mixing, packing
+from linkloom.llm import chat, embeddings, exact_dedup, language_id, minhash, mixing, packing, toxicity, url_filter
 from linkloom.llm.common import table
 
 
@@ -14,6 +14,19 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+#: The chain: poor quality first, then toxicity.
+CATEGORIES = [("poor", "1 - quality"), ("toxic", "toxic")]
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), CATEGORIES))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, threshold_pct=80)
 
@@ -24,6 +37,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model)
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -40,6 +61,7 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+#: In DuckDB's dialect.
 ORACLES = {
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -47,9 +69,42 @@ ORACLES = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
-    "op3_minhash_near_dedup": None,
+    "op1_chat_format": """
+        WITH t AS (
+            SELECT conv_id, turn, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS line,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos,
+                   count(*) OVER (PARTITION BY conv_id) AS n
+            FROM conversations
+        ), p AS (
+            SELECT conv_id, pos, n, string_agg(line, '') OVER (PARTITION BY conv_id ORDER BY pos) AS prefix FROM t
+        ), whole AS (SELECT min(conv_id) AS conv_id, prefix FROM p WHERE pos = n - 1 GROUP BY prefix),
+        stay AS (SELECT conv_id FROM whole WHERE prefix NOT IN (SELECT prefix FROM p WHERE pos < n - 1))
+        SELECT conv_id, CAST(floor(pos / 256) AS BIGINT) AS segment, count(*) AS n_turns, string_agg(line, '' ORDER BY pos) AS text
+        FROM t JOIN stay USING (conv_id) GROUP BY ALL
+    """,
+    "op7_url_filter": """
+        WITH r AS (
+            SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
+        ), u AS (
+            SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                   coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+            FROM r
+        ), f AS (
+            SELECT *, CASE
+                WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+                WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+                WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+                WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+                WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule
+            FROM u
+        )
+        SELECT page_id, host, path, rule, CASE
+            WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN host LIKE '%spam%' OR host LIKE '%cheap-pills%' OR host LIKE '%casino%' THEN 'block' ELSE 'allow' END AS verdict
+        FROM f
+    """,
 }
 
 
 def oracle_sql() -> dict:
-    return {k: v for k, v in ORACLES.items() if v}
+    return dict(ORACLES)
