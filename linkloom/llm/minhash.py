@@ -90,12 +90,19 @@ def likely(up: np.ndarray, down: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, t
     return (top >= threshold - 1e-9) & (best - at <= nats)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches: word hashing needs several times a batch's bytes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def features(docs: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
     """doc_id, n_shingles, digest (128 bits of the whole set), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-        for batch in batches:
+        for batch in slices(batches):
             hashes, _, _, first = word_hashes(batch.column(1))
             size, digest, regs = [], [], []
             for i in range(batch.num_rows):
@@ -126,7 +133,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, *, id_col: str, text_col: str, wi
     bitmap = spark.sparkContext.broadcast(_id_filter(ids))  # 2**FILTER_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             h = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             hit = (bitmap.value[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1
             batch = batch.filter(pa.array(hit))
