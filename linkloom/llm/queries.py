@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import chat, embeddings, exact_dedup, language_id, minhash, mixing, packing, toxicity, url_filter
+from linkloom.llm import chat, embeddings, exact_dedup, language_id, minhash, mixing, packing, substring_dedup, toxicity, url_filter
 from linkloom.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_embeddings(table(spark, sf_dir, "embeddings"))
 
