@@ -84,7 +84,7 @@ def jaro_winkler(a: str, b: str) -> float:
         return 0.0
     other = [c for c, u in zip(b, used) if u]
     m, half = len(hits), sum(x != y for x, y in zip(hits, other))
-    jaro = (m / len(a) + m / len(b) + (m - half / 2) / m) / 3
+    jaro = (m / len(a) + m / len(b) + (m - half // 2) / m) / 3
     if jaro <= 0.7:
         return jaro
     prefix = 0

@@ -52,7 +52,7 @@ def unseen_share(names: DataFrame, ids: str, name: str, vocabulary: DataFrame) -
 
 
 def _overlap(pairs: DataFrame, one: DataFrame, two: DataFrame, column: str, prefix: str) -> DataFrame:
-    """<prefix>_word_cosine, _char_cosine, _idf_jaccard of a text column."""
+    """(s1, s23) of pairs with <prefix>_word_cosine, _char_cosine, _idf_jaccard of a text column."""
     both = one.select(F.concat(F.lit("a"), F.col("s1").cast("string")).alias("id"), F.col(column).alias("t")).unionByName(two.select(F.concat(F.lit("b"), F.col("s23").cast("string")).alias("id"), F.col(column).alias("t")))
     n = one_row(both)
     out = pairs
@@ -60,10 +60,12 @@ def _overlap(pairs: DataFrame, one: DataFrame, two: DataFrame, column: str, pref
         post = vectors.postings(both, F.array_distinct(grams) if kind == "word" else grams, ["id"])
         weights = vectors.tfidf(post, n, ["id"])
         side = lambda letter, name: weights.where(F.col("id").startswith(letter)).select(F.substring("id", 2, 30).cast("long").alias(name), "gram", "w")
-        out = vectors.pair_dot(out, side("a", "s1"), side("b", "s23")).withColumnRenamed("dot", f"{prefix}_{kind}_cosine")
+        dots = vectors.pair_dot(pairs, side("a", "s1"), side("b", "s23")).withColumnRenamed("dot", f"{prefix}_{kind}_cosine")
+        out = out.join(dots, ["s1", "s23"])
         if kind == "word":
-            out = vectors.shared_idf(out, side("a", "s1").drop("w"), side("b", "s23").drop("w"), vectors.word_idf(post, n)).withColumnRenamed("idf_jaccard", f"{prefix}_idf_jaccard")
-            out = out.withColumns({f"_{prefix}_shared": F.col("shared"), f"_{prefix}_a": F.col("sum_a"), f"_{prefix}_b": F.col("sum_b")}).drop("shared", "sum_a", "sum_b")
+            own = vectors.shared_idf(pairs, side("a", "s1").drop("w"), side("b", "s23").drop("w"), vectors.word_idf(post, n)).withColumnRenamed("idf_jaccard", f"{prefix}_idf_jaccard")
+            own = own.withColumnsRenamed({"shared": f"_{prefix}_shared", "sum_a": f"_{prefix}_a", "sum_b": f"_{prefix}_b"})
+            out = out.join(own, ["s1", "s23"])
     return out
 
 
@@ -72,14 +74,16 @@ def pair_features(candidates: DataFrame, s1: DataFrame, s23: DataFrame) -> DataF
 
     Competition is counted over all candidates; rescue rows keep rank -1.
     """
-    one, two = records(s1, "s1"), records(s23, "s23")
+    # each is read many times below; kept, they are leaves of the plan
+    one, two, candidates = records(s1, "s1").persist(), records(s23, "s23").persist(), candidates.persist()
+    base = candidates.select("s1", "s23")
     vocabulary = one.select(F.explode(text.words(F.col("core"))).alias("word"))
     fuzzy1 = fuzzy_legal_bits(one, "clean", "s1").withColumnRenamed("fuzzy", "fuzzy1")
     fuzzy2 = fuzzy_legal_bits(two, "clean", "s23").withColumnRenamed("fuzzy", "fuzzy2")
     unseen = unseen_share(two, "s23", "core", vocabulary).withColumnRenamed("unseen", "s23_unseen_words")
     rows = ranking.competition(candidates.join(two.select("s23", F.col("core").alias("_core")), "s23"), "best_score", "source", "_core").drop("_core")
     for column, prefix in (("core", "name"), ("key", "key"), ("addr", "addr")):
-        rows = _overlap(rows, one, two, column, prefix)
+        rows = rows.join(_overlap(base, one, two, column, prefix).persist(), ["s1", "s23"])
     a = one.select("s1", *[F.col(c).alias(f"{c}1") for c in one.columns if c != "s1"])
     b = two.select("s23", *[F.col(c).alias(f"{c}2") for c in two.columns if c != "s23"])
     rows = rows.join(a, "s1").join(b, "s23").join(fuzzy1, "s1").join(fuzzy2, "s23").join(unseen, "s23")

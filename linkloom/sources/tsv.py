@@ -36,8 +36,8 @@ def read_source23(spark: SparkSession, folder: str, split: str) -> DataFrame:
 
 def truth_pairs(rows: DataFrame) -> DataFrame:
     """(source1_entity_id, matched_entity_ids as a comma list) to one row per pair."""
-    ids = F.explode(F.split("matched_entity_ids", ","))
-    return rows.select("source1_entity_id", F.trim(ids).alias("entity_id")).where("entity_id <> ''").distinct()
+    ids = rows.select("source1_entity_id", F.explode(F.split("matched_entity_ids", ",")).alias("entity_id"))
+    return ids.select("source1_entity_id", F.trim("entity_id").alias("entity_id")).where("entity_id <> ''").distinct()
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
