@@ -54,21 +54,25 @@ def rival_features(pairs: DataFrame, s1: DataFrame, s23: DataFrame, p: str = "p"
         return rows.select(row, name.alias("name"), addr.alias("addr")).withColumn("nkey", rival_key(F.col("name"))).withColumn("akey", digit_key(F.col("addr")))
 
     ratio = lambda a, b: similarities(a, b, "ratio")["ratio"]
+    token_set = lambda a, b: similarities(a, b, "token_set")["token_set"]
     one, two = keyed(s1, "s1"), keyed(s23, "s23")
     live = in_window(pairs, p).select("s1", "s23").distinct().join(two, "s23")
-    n2 = two.groupBy("nkey").agg(F.count("*").alias("rv_n2"))
-    a2 = two.groupBy("akey").agg(F.count("*").alias("_ad_n2"))
+    # how many canonical records have the record's key, the copy's key, the copy's address key
+    names_, addrs_ = one.groupBy("nkey").agg(F.count("*").alias("n")), one.groupBy("akey").agg(F.count("*").alias("n"))
+    n1 = one.select("s1", "nkey").join(names_, "nkey").select("s1", F.col("n").alias("rv_n1"), F.col("nkey").alias("_key1"))
     by_name = rival_scores(live, one, "nkey", "name", "name", ratio, guard)
-    by_addr = rival_scores(live.where("akey <> ''"), one, "akey", "addr", "addr", ratio, guard)
+    by_addr = rival_scores(live.where("akey <> ''"), one, "akey", "addr", "addr", token_set, guard)
     own = live.join(one.select("s1", F.col("name").alias("name1"), F.col("addr").alias("addr1")), "s1")
-    sims = similarities(F.col("name"), F.col("name1"), "ratio", "token_set")
+    own = own.join(n1, "s1")
     w = words(F.col("name"))
-    own = own.withColumn("_s", sims).select(
-        "s1", "s23", F.when(F.col("addr") == "", 1).otherwise(0).alias("rv_empty"), F.col("_s.ratio").alias("rv_sim"), F.col("_s.token_set").alias("rv_tset"), ratio(F.col("addr"), F.col("addr1")).alias("rv_asim"),
+    own = own.select(
+        "s1", "s23", F.when(F.col("addr") == "", 1).otherwise(0).alias("rv_empty"), (F.col("nkey") == F.col("_key1")).cast("int").alias("rv_key_eq"), "rv_n1",
+        ratio(F.col("name"), F.col("name1")).alias("rv_sim"), token_set(F.col("_key1"), F.col("nkey")).alias("rv_tset"), token_set(F.col("addr"), F.col("addr1")).alias("rv_asim"),
         F.size(w).alias("rv_n_words"), F.coalesce(F.array_max(F.transform(w, lambda x: F.length(x))), F.lit(0)).alias("rv_max_word"), "nkey", "akey",
     )
-    own = own.join(n2, "nkey").join(a2, "akey").withColumn("rv_ad_n2", F.when(F.col("akey") == "", -1).otherwise(F.col("_ad_n2"))).drop("nkey", "akey", "_ad_n2")
-    names = by_name.select("s1", "s23", F.col("key_eq").alias("rv_key_eq"), F.col("n_rivals").alias("rv_n1"), F.col("gap_best").alias("rv_gap_best"), F.col("n_better").alias("rv_n_better"), F.col("n_tie").alias("rv_n_tie"), F.col("gap_second").alias("rv_gap_second"))
+    own = own.join(names_.withColumnRenamed("n", "rv_n2"), "nkey", "left").join(addrs_.withColumnRenamed("n", "_ad_n2"), "akey", "left").na.fill(0, ["rv_n2", "_ad_n2"])
+    own = own.withColumn("rv_ad_n2", F.when(F.col("akey") == "", -1).otherwise(F.col("_ad_n2"))).drop("nkey", "akey", "_ad_n2")
+    names = by_name.select("s1", "s23", F.col("gap_best").alias("rv_gap_best"), F.col("n_better").alias("rv_n_better"), F.col("n_tie").alias("rv_n_tie"), F.col("gap_second").alias("rv_gap_second"))
     addrs = by_addr.select("s1", "s23", F.col("gap_best").alias("rv_ad_gap_best"), F.col("n_better").alias("rv_ad_better"), F.col("gap_second").alias("rv_ad_gap_second"))
     return pairs.join(own.join(names, ["s1", "s23"], "left").join(addrs, ["s1", "s23"], "left"), ["s1", "s23"], "left")
 

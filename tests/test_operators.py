@@ -45,7 +45,7 @@ def test_rivals(spark):
     two = spark.createDataFrame([(0, "alpha trading private limited", ""), (1, "beta stores", "5 south avenue"), (2, "gamma tech llc", "")], "s23 long, business_name string, business_address string")
     pairs = spark.createDataFrame([(0, 0, 0.5), (1, 1, 0.999), (2, 2, 0.0001)], "s1 long, s23 long, p double")
     got = {r.s1: r for r in rivals.rival_features(pairs, one, two).collect()}
-    assert got[0].rv_empty == 1 and got[0].rv_n1 == 2 and got[0].rv_n2 == 1 and got[1].rv_sim is None and got[2].rv_sim is None
+    assert got[0].rv_empty == 1 and got[0].rv_n1 == 2 and got[0].rv_n2 == 2 and got[0].rv_key_eq == 1 and got[1].rv_sim is None and got[2].rv_sim is None
 
 
 def test_exclusive_and_keep_rule(spark):
