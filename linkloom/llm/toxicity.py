@@ -126,14 +126,15 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, names: list[str], fold
             rest = fold == f
             if rest.any():
                 out_of_fold[rest] = fit_linear(*pick(known & ~rest)).logit([rows[i] for i in np.flatnonzero(rest)], dense[rest])
+        out_of_fold = np.clip(out_of_fold, -20, 20)  # as predictions are
         models.append(fit_linear(*pick(known)))
         limits.append(best_limit(out_of_fold[known], y[known]))
-        dense = np.hstack([dense, np.clip(out_of_fold, -20, 20)[:, None]])
+        dense = np.hstack([dense, out_of_fold[:, None]])
     return Chain(names, models, limits)
 
 
 def best_limit(z: np.ndarray, y: np.ndarray) -> float:
-    """The log-odds at which out-of-fold predictions have the best F1, midway to the next lower one."""
+    """The log-odds at which out-of-fold predictions have the best F1; of the equally good ones the nearest to 0."""
     if not len(y) or not 0 < y.mean() < 1:
         return 0.0
     order = np.argsort(-z, kind="stable")
@@ -141,7 +142,7 @@ def best_limit(z: np.ndarray, y: np.ndarray) -> float:
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
     k = int(np.argmax(f1))
     low = z[order[k + 1]] if k + 1 < len(z) else z[order[k]] - 1
-    return float((z[order[k]] + low) / 2)
+    return float(min(z[order[k]], max(0.0, (z[order[k]] + low) / 2 if low > 0 else 0.0)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, str]], *, id_col="doc_id", text_col="text", sample: int = SAMPLE) -> Chain:
