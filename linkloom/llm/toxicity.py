@@ -116,7 +116,8 @@ class Chain:
 def fit_chain(rows: list[np.ndarray], labels: np.ndarray, names: list[str], folds: int = FOLDS) -> Chain:
     """labels: a column per category, NaN where unknown. Rows come in a stable order."""
     n = len(rows)
-    fold, dense, models, limits = np.arange(n) % folds, np.zeros((n, 0)), [], []
+    fold = np.random.Generator(np.random.PCG64(11)).permutation(n) % folds  # not aligned with any order of the rows
+    dense, models, limits = np.zeros((n, 0)), [], []
     for c in range(labels.shape[1]):
         y = labels[:, c]
         known = ~np.isnan(y)
