@@ -195,12 +195,14 @@ def test_substrings(docs, empty):
 
 def test_compact_windows_cover_each_subsequence_once():
     rng = np.random.default_rng(3)
-    h = rng.permutation(60).astype(np.uint64)
-    tree = list(zip(*substring_dedup.compact_windows(h, 7)))
-    for a in range(60):
-        for b in range(a + 6, 60):
-            own = [(l, c, r) for l, c, r in tree if l <= a <= c <= b <= r]
-            assert len(own) == 1 and own[0][1] == a + int(h[a : b + 1].argmin())
+    h = np.concatenate([rng.permutation(60), rng.integers(0, 5, 40), np.zeros(20), [1] * 6]).astype(np.uint64)
+    first = np.array([0, 60, 60, 100, 120, 126])
+    tree = list(zip(*substring_dedup.compact_windows(h, first, 7)))
+    for i in range(5):
+        for a in range(first[i], first[i + 1]):
+            for b in range(a + 6, first[i + 1]):
+                own = [(t, c) for t, l, c, r in tree if l <= a <= c <= b <= r]
+                assert own == [(i, a + int(h[a : b + 1].argmin()))]
 
 
 def test_embeddings(spark):
