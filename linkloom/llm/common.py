@@ -101,30 +101,33 @@ def in_groups(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame], pd.D
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -> DataFrame:
     """Connected components of an edge list: one row (id, root) per vertex, root the smallest id.
 
-    Alternating large-star and small-star rounds. A round is joins and aggregates with map-side
-    combining, so no vertex's neighbours are collected: a hub with a third of all edges is only
-    a hot join key, which adaptive execution splits. Every round ends in a table in the shared
-    folder. Edges with a null end are ignored; self loops keep their vertex in the result.
+    Alternating large-star and small-star rounds until every vertex points at a root only. A round
+    is joins and aggregates with map-side combining, so no vertex's neighbours are collected: a hub
+    with a third of all edges is only a hot join key, which adaptive execution splits. Every round
+    ends in a table in the shared folder. Edges with a null end are ignored; self loops take no part
+    in the rounds and keep their vertex in the result.
     """
     ids = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    # (u, v) with u > v: each vertex points at a smaller one; loops mark lone vertices
-    now = materialise(ids.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    before = None
+    # (u, v) with u > v: each vertex points at a smaller one
+    whole = materialise(ids.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    loops, now = whole.where("u = v").select(F.col("u").alias("id"), F.col("u").alias("root")), whole.where("u <> v")
+    first = True
     while True:
-        seen = now.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
-        if seen[0] == 0 or (before is not None and tuple(seen) == before):
+        # done if no vertex points at two others, or at one that itself points on
+        ends = now.select(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(now.select(F.col("v").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+        if ends.groupBy("id").agg(F.sum("out").alias("n_out"), F.max("in").alias("n_in")).where("n_out > 1 OR (n_out = 1 AND n_in = 1)").count() == 0:
             break
-        before = tuple(seen)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(now.where("u = v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        after = materialise(after.where("u <> v").unionByName(now.where("u = v")).distinct(), name)
-        release(now)
+        after = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        after = materialise(after, name)
+        if first:
+            first = False  # the loops are read from this table at the end
+        else:
+            release(now)
         now = after
-    roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root")
-    lone = now.select(F.col("v").alias("id"), F.col("v").alias("root"))
-    return roots.unionByName(lone).groupBy("id").agg(F.min("root").alias("root"))
+    roots = now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")))
+    return roots.unionByName(loops).groupBy("id").agg(F.min("root").alias("root"))

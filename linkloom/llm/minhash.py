@@ -293,8 +293,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     for turn in range(star_rounds + 1):
         now = met.withColumn("comp", F.col("id"))
         if turn:
-            comp = components(links.unionByName(ids.select(F.col("id").alias("a"), F.col("id").alias("b"))))
-            now = met.join(comp.withColumnRenamed("root", "comp"), "id")
+            comp = components(links)
+            now = met.join(comp.withColumnRenamed("root", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
             # only buckets that still hold several components
             open_ = now.groupBy("bkey").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bkey")
             now = materialise(now.join(open_, "bkey"), "minhash-open")
@@ -307,7 +307,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             pairs = now.join(star, "bkey").where("id <> rep")
             if turn:
                 mark = comp.select(F.col("id").alias("rep"), F.col("root").alias("rep_comp"))
-                pairs = pairs.join(mark, "rep").where("comp <> rep_comp")
+                pairs = pairs.join(mark, "rep", "left").where("comp <> coalesce(rep_comp, rep)")
             # one representative per class and turn
             near = pairs.groupBy("id").agg(F.min("rep").alias("rep")).select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
             new = verified(_estimated(near, reps, threshold), sets, threshold_pct)
