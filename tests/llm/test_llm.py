@@ -284,3 +284,26 @@ def test_pipeline(spark, docs, tmp_path):
             assert after.count() == after.select("text").distinct().count() == now.select("text").distinct().count()
         now = after
     assert now.count() > 0 and now.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+def test_substrings_of_frequent_lines(spark):
+    rng = np.random.default_rng(8)
+    lines = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 10)) for _ in range(20)]
+    fresh = lambda n: " ".join(f"x{x}" for x in rng.integers(0, 10**9, n))
+    passages = [" ".join(lines[k] for k in rng.permutation(20)[:6]) for _ in range(150)]
+    rows = [(d * 1000 + i, f"{fresh(30)} {p} {fresh(30)}") for i, p in enumerate(passages) for d in (0, 1)]
+    rows += [(5000 + i, " ".join(f"{fresh(9)} {p}" for p in passages[4 * i : 4 * i + 4])) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    words, held = {i: t.split() for i, t in rows}, {}
+    for i, w in words.items():
+        for k in range(len(w) - 49):
+            held.setdefault(tuple(w[k : k + 50]), set()).add((i, k))
+    got = substring_dedup.repeated_passages(docs).collect()
+    spans = {}
+    for r in got:
+        assert words[r.doc_id] != words[r.other_id]
+        spans.setdefault(r.doc_id, []).append((r.start, r.start + r.n_words))
+    for who in held.values():
+        first = min(i for i, _ in who)
+        for i, k in who:
+            assert i == first or any(a <= k and k + 50 <= b for a, b in spans.get(i, [])), (i, k)
