@@ -8,10 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import number_words, words
+from linkloom.operators.blocking import top_k
+
+#: Rows of a block of vectors, and those of it that meet another block at once.
+BLOCK, TOGETHER = 8192, 512
 
 
 def char_ngrams(c: Column, n: int = 3) -> Column:
@@ -93,3 +99,39 @@ def centroid_support(candidates: DataFrame, weights: DataFrame, a: str = "s1", b
     others = F.sum(p).over(Window.partitionBy(a)) - F.col(p)
     rows = candidates.withColumn("others", others).join(dots, [a, b], "left")
     return rows.withColumn("support", F.when((F.col("others") > 1e-3) & F.col("dot").isNotNull(), (F.col("dot") - F.col(p) * F.col("own")) / F.col("others"))).drop("dot", "own")
+
+
+def nearest(rows: DataFrame, k: int, key: str, vector: str, *, block: int = BLOCK) -> DataFrame:
+    """(key, near, score, rank): the k other rows of the largest cosine, exactly; equal scores in the order of their keys.
+
+    The rows are dealt into blocks; a task multiplies two blocks and emits k rows a query at most.
+    """
+    rows = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("x")).where(F.col("id").isNotNull() & (F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v) > 0))
+    n = max(1, -(-rows.count() // block))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    ask = rows.select("id", "x", F.lit(True).alias("asks"), F.col("own").alias("q"), F.col("other").alias("d"))
+    have = rows.select("id", "x", F.lit(False).alias("asks"), F.col("other").alias("q"), F.col("own").alias("d"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if len(a) and len(b):
+            b = b.sort_values("id")
+            unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+            one, two = (unit(np.stack(t["x"]).astype(float)) for t in (a, b))
+            ids, j = a["id"].to_numpy(), b["id"].to_numpy()
+            at = max(0, len(j) - k)
+            for lo in range(0, len(ids), TOGETHER):
+                i = ids[lo : lo + TOGETHER]
+                s = np.round(one[lo : lo + TOGETHER] @ two.T, 6)
+                s[i[:, None] == j[None, :]] = -np.inf
+                least = np.partition(s, at, axis=1)[:, at]
+                r, c = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+                order = np.lexsort((c, -s[r, c], r))
+                r, c = r[order], c[order]
+                keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+                out.append((i[r[keep]], j[c[keep]], s[r[keep], c[keep]]))
+        return pd.DataFrame(dict(zip(("id", "near", "score"), map(np.concatenate, zip(*out)))))
+
+    scores = ask.unionByName(have).groupBy("q", "d").applyInPandas(run, "id long, near long, score double")
+    return top_k(scores.withColumnRenamed("id", key), k, [key], F.col("score").desc(), F.col("near"))

@@ -237,12 +237,8 @@ def sibling_support(spark, d):
 
 
 def embedding_topk(spark, d):
-    """Each vector of label 0 against all others, exact cosine in blocks of a label."""
-    e = load(spark, d, "embeddings").select("vec_id", "label", F.posexplode(F.transform("embedding", lambda x: x.cast("double"))).alias("i", "x"))
-    w = e.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(__import__("pyspark").sql.Window.partitionBy("vec_id"))))
-    centre = w.groupBy("label", "i").agg(F.avg("x").alias("c"))
-    near = w.join(F.broadcast(centre.withColumnRenamed("label", "centre")), "i").groupBy("vec_id", "centre").agg(F.round(F.sum(F.col("x") * F.col("c")), 6).alias("score"))  # labels * dimensions
-    return blocking.top_k(near, 3, ["vec_id"], F.col("score").desc(), F.col("centre"))
+    """Each vector against all others, exact cosine in blocks; one without a direction has no neighbours."""
+    return vectors.nearest(load(spark, d, "embeddings"), 3, "vec_id", "embedding")
 
 
 # ---- pair world

@@ -75,3 +75,21 @@ def test_id_lists_and_steps(spark, tmp_path):
         assert tsv.saved_step(spark, os.path.join(tmp_path, "step"), make).count() == 2
     assert len(calls) == 1
     assert rows(tsv.with_row_number(spark.createDataFrame([(c,) for c in "cab"], "entity_id string"), "row"))[0] == ("a", 0)
+
+
+def test_nearest_against_brute_force(spark):
+    import numpy as np
+
+    from linkloom.operators import vectors
+
+    x = np.random.default_rng(4).normal(size=(60, 8))
+    x[7] = x[3]
+    x[9] = 0
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, x array<double>")
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    s, want = np.round(unit @ unit.T, 6), []
+    for i in range(60):
+        near = sorted((j for j in range(60) if j != i and 9 not in (i, j)), key=lambda j: (-s[i, j], j))[:4]
+        want += [(i, j, k) for k, j in enumerate(near)]
+    for block in (7, 100):
+        assert rows(vectors.nearest(df, 4, "id", "x", block=block), "id", "near", "rank") == sorted(want)
