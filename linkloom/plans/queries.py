@@ -477,21 +477,26 @@ def gbdt_scores(spark, d):
     return learning.cross_fit(rows.withColumnRenamed("p", "score"), names, rounds=5, depth=3).select("s1", "s23", "p", "label")
 
 
-def pair_features(spark, d):
-    """The 69 features of benchmark passages against the documents that the search proposes."""
+def _proposed(spark, d):
+    """(candidates, passages, documents): what the search proposes to the benchmark's passages among all documents."""
     def table(rows, row):
         name, core, legal = text.name_parts(F.col("t"))
         return rows.select(row, name.alias("name_clean"), core.alias("name_core"), legal.alias("legal_form"), text.clean_address(F.col("t")).alias("addr_clean"))
 
     one = table(_passages(spark, d), "s1")
-    two = table(load(spark, d, "benchmark").select((F.col("item_id") + 1000000).alias("s23"), text.basic_clean(F.reverse("text"), native=True).alias("t")), "s23")
+    two = table(_clean(spark, d).withColumnRenamed("doc_id", "s23"), "s23")
     names = lambda rows, row: rows.select(row, F.col("name_core").alias("t"))
     both = names(one, "s1").select(F.lit("q").alias("side"), F.col("s1").alias("id"), "t").unionByName(names(two, "s23").select(F.lit("d").alias("side"), F.col("s23").alias("id"), "t"))
     w = vectors.tfidf(vectors.postings(both, vectors.char_ngrams(F.col("t")), ["side", "id"]), features.one_row(both), ["side", "id"])
     a = w.where("side = 'q'").select(F.col("id").alias("s1"), "gram", "w", "df")
     b = w.where("side = 'd'").select(F.col("id").alias("s23"), (F.col("id") % 2 + 2).cast("int").alias("source"), "gram", "w", "df")
-    cand = blocking.combine_and_trim(blocking.retrieve(a, b, n_docs=features.one_row(both), k_forward=3, k_reverse=2), ["name_addr_fwd", "name_addr_rev"], 6)
-    return features.pair_features(cand.withColumn("source", (F.col("s23") % 2 + 2).cast("int")), one, two)
+    cand = blocking.combine_and_trim(blocking.retrieve(a, b, n_docs=features.one_row(both)), ["name_addr_fwd", "name_addr_rev"])
+    return cand.withColumn("source", (F.col("s23") % 2 + 2).cast("int")), one, two
+
+
+def pair_features(spark, d):
+    """The 69 features of benchmark passages against the documents that the search proposes."""
+    return features.pair_features(*_proposed(spark, d))
 
 
 def queries() -> dict:

@@ -51,3 +51,14 @@ def test_models_separate(spark):
 def test_pair_features_has_69_columns(spark):
     df = queries.pair_features(spark, SF)
     assert len([c for c in df.columns if c not in ("s1", "s23")]) >= 69 - 2
+
+
+def test_pair_features_are_of_documents(spark):
+    from linkloom.operators import blocking
+
+    cand, _, two = queries._proposed(spark, SF)
+    known = {r.doc_id for r in queries.load(spark, SF, "documents").select("doc_id").collect()}
+    assert {r.s23 for r in two.select("s23").collect()} == known
+    got = cand.collect()
+    assert got and {r.s23 for r in got} <= known
+    assert max(r.candidate_rank for r in got) == blocking.MAX_CANDIDATES - 1
