@@ -14,6 +14,9 @@ from linkloom.operators.evaluation import f05
 from linkloom.operators.ranking import exclusive
 
 GRID = tuple(round(0.30 + 0.05 * i, 2) for i in range(13))
+#: The grid of keep rules: t, and t1 of the first place or no rule for it.
+KEEP = tuple(round(0.50 + 0.02 * i, 2) for i in range(21))
+KEEP_FIRST = (None, *(round(0.40 + 0.04 * i, 2) for i in range(10)))
 
 
 def threshold(pairs: DataFrame, t: float, p: str = "p") -> DataFrame:
@@ -84,22 +87,27 @@ def threshold_grid(pairs: DataFrame, truth: DataFrame, s1: DataFrame, grid: Sequ
     return rows.groupBy("t").agg(F.avg(f05(F.col("n_pred"), F.col("n_true"), F.col("n_hit"))).alias("macro_f05"))
 
 
-def honest_grid(pairs: DataFrame, truth: DataFrame, s1: DataFrame, ts: Sequence[float], t1s: Sequence[float], p: str = "p") -> DataFrame:
-    """Keep rules (t, t1) picked on one half of the records and measured on the other: (fold, t, t1, picked, honest)."""
+def honest_grid(pairs: DataFrame, truth: DataFrame, s1: DataFrame, ts: Sequence[float], t1s: Sequence[float | None], p: str = "p") -> DataFrame:
+    """Keep rules (t, t1) picked on one half of the records and measured on the other: (fold, t, t1, picked, honest).
+
+    t1 lies below t; None stands for no rule for the first place.
+    """
     rows = exclusive(pairs, p)
     first = F.row_number().over(Window.partitionBy("s1").orderBy(F.col(p).desc(), "s23")) == 1
     rows = rows.withColumn("_first", first).join(truth.select("s1", "s23").distinct().withColumn("_true", F.lit(1)), ["s1", "s23"], "left")
-    grid = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(float(u)).alias("t1")) for t in ts for u in t1s if u <= t])
+    grid = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(None if u is None else float(u)).cast("double").alias("t1")) for t in ts for u in t1s if u is None or u < t])
     kept = rows.select("s1", F.coalesce("_true", F.lit(0)).alias("_true"), F.explode(F.filter(grid, lambda g: (F.col(p) >= g["t"]) | (F.col("_first") & (F.col(p) >= g["t1"])))).alias("g"))
     counts = kept.groupBy("s1", "g.t", "g.t1").agg(F.count("*").alias("n_pred"), F.sum("_true").alias("n_hit"))
     wanted = truth.select("s1", "s23").distinct().groupBy("s1").agg(F.count("*").alias("n_true"))
     every = s1.select("s1").join(wanted, "s1", "left").select("s1", F.coalesce("n_true", F.lit(0)).alias("n_true"), F.explode(grid).alias("g")).select("s1", "n_true", "g.t", "g.t1")
     fold = F.pmod(F.floor(F.pmod(F.col("s1") * 2654435761, F.lit(1 << 32)) / 65536), F.lit(2)).alias("fold")
-    scored = every.join(counts, ["s1", "t", "t1"], "left").na.fill(0, ["n_pred", "n_hit"])
+    same = F.col("a.t1").eqNullSafe(F.col("b.t1"))
+    scored = every.alias("a").join(counts.alias("b"), (F.col("a.s1") == F.col("b.s1")) & (F.col("a.t") == F.col("b.t")) & same, "left").select("a.*", "n_pred", "n_hit").na.fill(0, ["n_pred", "n_hit"])
     means = scored.groupBy(fold, "t", "t1").agg(F.round(F.avg(f05(F.col("n_pred"), F.col("n_true"), F.col("n_hit"))), 9).alias("f"))
     best = means.withColumn("_n", F.row_number().over(Window.partitionBy("fold").orderBy(F.col("f").desc(), "t", "t1"))).where("_n = 1")
     other = means.select((1 - F.col("fold")).alias("fold"), "t", "t1", F.col("f").alias("honest"))
-    return best.select("fold", "t", "t1", F.col("f").alias("picked")).join(other, ["fold", "t", "t1"])
+    same = F.col("a.t1").eqNullSafe(F.col("b.t1"))
+    return best.alias("a").join(other.alias("b"), (F.col("a.fold") == F.col("b.fold")) & (F.col("a.t") == F.col("b.t")) & same).select("a.fold", "a.t", "a.t1", F.col("a.f").alias("picked"), "b.honest")
 
 
 def monte_carlo(pairs: DataFrame, *, top: int = 8, samples: int = 256, miss: float = 0.0, seed: int = 42, p: str = "p") -> DataFrame:

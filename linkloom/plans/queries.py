@@ -336,7 +336,7 @@ def threshold_grid(spark, d):
 
 
 def honest_grid(spark, d):
-    r = decisions.honest_grid(_pairs(spark, d), _truth(spark, d), _records(spark, d).select("s1"), (0.5, 0.7, 0.9), (0.4, 0.6))
+    r = decisions.honest_grid(_pairs(spark, d), _truth(spark, d), _records(spark, d).select("s1"), decisions.KEEP, decisions.KEEP_FIRST)
     return r.select("fold", "t", "t1", F.round("picked", 6).alias("picked"), F.round("honest", 6).alias("honest"))
 
 

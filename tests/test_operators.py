@@ -93,3 +93,28 @@ def test_nearest_against_brute_force(spark):
         want += [(i, j, k) for k, j in enumerate(near)]
     for block in (7, 100):
         assert rows(vectors.nearest(df, 4, "id", "x", block=block), "id", "near", "rank") == sorted(want)
+
+
+def test_honest_grid_against_plain_search(spark):
+    import random
+
+    rng = random.Random(3)
+    pairs = [(i, 100 * i + j, round(rng.random(), 3)) for i in range(60) for j in range(3)]
+    true = {(i, s) for i, s, p in pairs if rng.random() < (p if p < 0.45 or p > 0.8 else 0.25)}
+    assert len(decisions.KEEP) == 21 and decisions.KEEP[-1] == 0.9 and len(decisions.KEEP_FIRST) == 11 and decisions.KEEP_FIRST[-1] == 0.76
+    df = spark.createDataFrame(pairs, "s1 long, s23 long, p double")
+    truth = spark.createDataFrame(sorted(true), "s1 long, s23 long")
+    got = {r.fold: r for r in decisions.honest_grid(df, truth, spark.range(60).withColumnRenamed("id", "s1"), decisions.KEEP, decisions.KEEP_FIRST).collect()}
+
+    def f05(i, t, u):
+        own = sorted((-p, s) for k, s, p in pairs if k == i)
+        kept = {(i, s) for n, (p, s) in enumerate(own) if -p >= t or n == 0 and u is not None and -p >= u}
+        want = {x for x in true if x[0] == i}
+        return 1.25 * len(kept & want) / (0.25 * len(want) + len(kept)) if kept and want else float(not kept and not want)
+
+    for fold in (0, 1):
+        mean = lambda t, u, fold=fold: sum(v := [f05(i, t, u) for i in range(60) if (i * 2654435761 % 2**32 // 65536) % 2 == fold]) / len(v)
+        rules = [(t, u) for t in decisions.KEEP for u in decisions.KEEP_FIRST if u is None or u < t]
+        best = max(rules, key=lambda r: (round(mean(*r), 9), -r[0], r[1] is None, -(r[1] or 0)))
+        assert (got[fold].t, got[fold].t1) == best and abs(got[fold].picked - mean(*best)) < 1e-6
+        assert abs(got[fold].honest - mean(*best, fold=1 - fold)) < 1e-6
