@@ -279,9 +279,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     slim = feats.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "n_shingles", "digest")
     classes = slim.groupBy("digest").agg(F.min("doc_id").alias("class"))
     # ids of equal sets, linked to the class's smallest id
-    member = slim.join(classes, "digest").where("doc_id <> class").select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
-    member = materialise(member.distinct(), "minhash-members")
-    reps = feats.join(member.select(F.col("b").alias("doc_id")), "doc_id", "left_anti").where("doc_id IS NOT NULL AND n_shingles > 0")
+    member = slim.join(classes, "digest").where("doc_id <> class").select(F.col("class").alias("a"), F.col("doc_id").alias("b"), "digest")
+    copies = materialise(member.distinct(), "minhash-members")
+    member = copies.select("a", "b").distinct()
+    # a document's other texts keep their sketches
+    reps = feats.join(copies.select(F.col("b").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_anti").where("doc_id IS NOT NULL AND n_shingles > 0")
     reps = materialise(reps.select(F.col("doc_id").alias("id"), "n_shingles", "sketch").dropDuplicates(["id", "sketch"]), "minhash-classes")
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 1 + 2 * PER_BAND * i, 2 * PER_BAND)) for i in range(BANDS)])
     bands = reps.select("id", F.posexplode(keys).alias("band", "bkey"))

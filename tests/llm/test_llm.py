@@ -307,3 +307,11 @@ def test_substrings_of_frequent_lines(spark):
         first = min(i for i, _ in who)
         for i, k in who:
             assert i == first or any(a <= k and k + 50 <= b for a, b in spans.get(i, [])), (i, k)
+
+
+def test_minhash_of_a_document_with_two_texts(spark):
+    rng = np.random.default_rng(12)
+    a, b = (" ".join(f"{c}{x}" for x in rng.integers(0, 10**6, 80)) for c in "ab")
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b + " more")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1)}
