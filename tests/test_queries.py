@@ -62,3 +62,14 @@ def test_pair_features_are_of_documents(spark):
     got = cand.collect()
     assert got and {r.s23 for r in got} <= known
     assert max(r.candidate_rank for r in got) == blocking.MAX_CANDIDATES - 1
+
+
+def test_gbdt_scores_use_the_operators_rounds_and_stop_early(spark, monkeypatch):
+    from linkloom.operators import learning
+
+    seen = []
+    monkeypatch.setattr(learning, "fit_gbdt", lambda rows, names, label="label", **kw: seen.append((rows, kw)) or (_ for _ in ()).throw(StopIteration))
+    with pytest.raises((StopIteration, RuntimeError)):
+        queries.gbdt_scores(spark, SF)
+    rows, kw = seen[0]
+    assert kw == {"validation": "stop"} and {r.stop for r in rows.select("stop").distinct().collect()} == {False, True}
