@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, from ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests in local mode) a temporary folder of this
+    Only in local mode and where that setting is missing (tests) a temporary folder of this
     machine is made and recorded in the session, so that it is made once.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("linkloom.shared.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="linkloom-")
         spark.conf.set("linkloom.shared.dir", path)
     return path.rstrip("/")
@@ -74,6 +80,33 @@ def release(df: DataFrame) -> None:
             _drop(df.sparkSession, path)
 
 
+def sweep(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete all tables written so far but those that ``keep`` reads: for long sessions, once results are stored."""
+    held = {os.path.dirname(p) for df in keep for p in df.inputFiles()}
+    app = spark.sparkContext.applicationId
+    for path in list(_written.get(app, [])):
+        if not any(h.endswith(path.split(":", 1)[-1].lstrip("/")) for h in held):
+            _drop(spark, path)
+            _written[app].remove(path)
+
+
+def lean(run: Callable) -> Callable:
+    """A map function for mapInArrow or mapInPandas that gives free memory back to the system when its
+    task ends. Workers are reused: what one task held at its largest would stay with them."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def in_groups(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Apply run to frames that each hold many whole groups, sorted by keys.
 
@@ -95,17 +128,18 @@ def in_groups(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame], pd.D
         if held is not None:
             yield run(held)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(whole, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(lean(whole), schema)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -> DataFrame:
     """Connected components of an edge list: one row (id, root) per vertex, root the smallest id.
 
     Alternating large-star and small-star rounds until every vertex points at a root only. A round
-    is joins and aggregates with map-side combining, so no vertex's neighbours are collected: a hub
-    with a third of all edges is only a hot join key, which adaptive execution splits. Every round
-    ends in a table in the shared folder. Edges with a null end are ignored; self loops take no part
-    in the rounds and keep their vertex in the result.
+    is joins and aggregates with map-side combining, so no vertex's neighbours are collected. A hub
+    with a third of all edges is a hot join key; each aggregate is a table before it is joined, so
+    both sides of a join are plain scans, which adaptive execution can split (or broadcast, if the
+    aggregate's size allows). Every round ends in a table in the shared folder. Edges with a null
+    end are ignored; self loops take no part in the rounds and keep their vertex in the result.
     """
     ids = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     # (u, v) with u > v: each vertex points at a smaller one
@@ -118,12 +152,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -
         if ends.groupBy("id").agg(F.sum("out").alias("n_out"), F.max("in").alias("n_in")).where("n_out > 1 OR (n_out = 1 AND n_in = 1)").count() == 0:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
+        large = materialise(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), name)
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         after = materialise(after, name)
+        for used in (low, large, least):
+            release(used)
         if first:
             first = False  # the loops are read from this table at the end
         else:

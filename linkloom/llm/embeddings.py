@@ -13,7 +13,7 @@ first band that it shares. Links are counted in the tasks, so no pair leaves one
 are cut into blocks that are compared two by two.
 
 Rows: a vector that is null, zero, or holds null or non-finite components links with nothing, as
-does one of another length or without an id; equal vectors are collapsed first and counted with
+does one without an id; vectors link only with others of their own length; equal vectors are collapsed first and counted with
 their number. Rows of one vec_id but different vectors are vectors of their own in one component.
 An empty table gives an empty result.
 """
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import components, in_groups, materialise
+from linkloom.llm.common import components, in_groups, lean, materialise
 from linkloom.llm.minhash import _pairs_within
 
 #: Share of pairs at the threshold that no band meets, at most.
@@ -84,7 +84,7 @@ def encode(classes: DataFrame, bits: int, bands: int) -> DataFrame:
                     "factor": factor, "step": step, "four": [v.tobytes() for v in four],
                 })
 
-    return classes.mapInPandas(run, "cid long, h long, dim int, keys array<long>, code binary, factor double, step double, four binary")
+    return classes.mapInPandas(lean(run), "cid long, h long, dim int, keys array<long>, code binary, factor double, step double, four binary")
 
 
 def _estimates(frame: pd.DataFrame, i: np.ndarray, j: np.ndarray, cache: dict) -> np.ndarray:
@@ -121,6 +121,18 @@ def _named(frame: pd.DataFrame, threshold: float) -> np.ndarray:
     return hit
 
 
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The roots (each the smallest number of its component) once the links (a, b) are added."""
+    while True:
+        u, v = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (u == v).all():
+            return root
+        root = root.copy()
+        np.minimum.at(root, v, u)
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def _links(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Per row its exact links first met here (with the partners' numbers) and a partner that joins components."""
     out = []
@@ -129,14 +141,7 @@ def _links(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
         keys = np.array(own["keys"].tolist())
         band, mult, block = int(own["band"].iat[0]), own["mult"].to_numpy(), own["block"].to_numpy()
         cid, h = own["cid"].to_numpy(), own["h"].to_numpy()
-        count, root = np.zeros(len(x), np.int64), list(range(len(x)))
-
-        def find(v: int) -> int:
-            while root[v] != v:
-                root[v] = root[root[v]]
-                v = root[v]
-            return v
-
+        count, root = np.zeros(len(x), np.int64), np.arange(len(x))
         for at in range(0, len(x), 512):
             i, j = np.nonzero(x[at : at + 512] @ x.T >= threshold)
             i += at
@@ -148,11 +153,8 @@ def _links(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
                 a, b = a[ok], b[ok]
                 np.add.at(count, a, mult[b])
                 np.add.at(count, b, mult[a])
-                for u, v in zip(a.tolist(), b.tolist()):
-                    u, v = find(u), find(v)
-                    if u != v:
-                        root[max(u, v)] = min(u, v)
-        low = np.array([find(v) for v in range(len(x))])
+                root = _joined(root, a, b)
+        low = root
         got = count > 0
         out.append(pd.DataFrame({"cid": cid[got], "h": h[got], "links": count[got], "other": cid[low][got]}))
     return pd.concat(out) if out else pd.DataFrame({"cid": [], "h": [], "links": [], "other": []}, dtype="int64")
@@ -178,7 +180,7 @@ def near_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     met = codes.select("cid", "h", "dim", "code", "factor", "step", "four", F.posexplode("keys").alias("band", "bits"))
     met = met.withColumn("bkey", F.xxhash64("dim", "band", "bits"))
     sizes = met.groupBy("bkey").agg(F.count("*").alias("n")).where("n > 1").select("bkey", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    met = met.join(sizes, "bkey").withColumn("block", F.pmod(F.xxhash64("cid", "h"), F.col("blocks")).cast("int"))
+    met = met.join(materialise(sizes, "vectors-buckets"), "bkey").withColumn("block", F.pmod(F.xxhash64("cid", "h"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
     keys = ["bkey", "p", "q"]
 

@@ -23,10 +23,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import lean
+
 #: Labelled rows per language that the classifier is fitted on, centroids per language.
 SAMPLE = 400
 CENTROIDS = 3
 DIMS = 1 << 13
+#: Bytes of a text that are counted at a time.
+STEP = 1 << 20
 #: A text is rejected if its best cosine is under this share of the centroid's 1st percentile in the sample.
 REJECT_SHARE = 0.3
 
@@ -35,18 +39,25 @@ _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(dimension, 1 + ln tf) of the text's n-grams; empty if it has no letter."""
-    raw = b" " + text.lower().encode("utf-8", "replace").translate(_LETTERS) + b" "
-    x = np.frombuffer(raw, np.uint8)
-    keep = np.ones(len(x), bool)
-    keep[1:] = (x[1:] != 32) | (x[:-1] != 32)
-    x = x[keep].astype(np.uint32)
-    if len(x) < 2 or not any(c.isalpha() for c in text):
+    """(dimension, 1 + ln tf) of the text's n-grams; empty if it has no letter. Bytes are counted
+    STEP at a time, so a long text needs little more than itself."""
+    raw = np.frombuffer(b" " + text.lower().encode("utf-8", "replace").translate(_LETTERS) + b" ", np.uint8)
+    tf, last = np.zeros(DIMS, np.int64), np.empty(0, np.uint32)  # last: up to two bytes before a step
+    for at in range(0, len(raw), STEP):
+        part = raw[at : at + STEP]
+        keep = part != 32
+        keep[1:] |= part[:-1] != 32
+        keep[0] |= at == 0 or raw[at - 1] != 32
+        x = np.concatenate([last, part[keep].astype(np.uint32)])
+        n = len(last)
+        one, two, three = x[n:], x[max(n - 1, 0) :], x[max(n - 2, 0) :]
+        two = two[:-1] | two[1:] << 8
+        three = three[:-2] | three[1:-1] << 8 | three[2:] << 16
+        for size, codes in ((1, one), (2, two), (3, three)):
+            tf += np.bincount(((codes | size << 24) * np.uint32(2654435761) >> np.uint32(32 - 13)).astype(np.int64), minlength=DIMS)
+        last = x[-2:]
+    if not any(c.isalpha() for c in text):
         return np.empty(0, np.int64), np.empty(0)
-    two = x[:-1] | x[1:] << 8
-    three = two[:-1] | x[2:] << 16
-    codes = np.concatenate([x | 1 << 24, two | 2 << 24, three | 3 << 24])
-    tf = np.bincount((codes * np.uint32(2654435761) >> np.uint32(32 - 13)).astype(np.int64), minlength=DIMS)
     at = np.flatnonzero(tf)
     return at, 1.0 + np.log(tf[at])
 
@@ -136,7 +147,7 @@ def identify(docs: DataFrame, model: CentroidModel, *, id_col: str = "doc_id", t
             yield pd.concat([b[["doc_id", "held_out"]].reset_index(drop=True), said], axis=1)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return rows.mapInPandas(lean(run), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: CentroidModel, *, text_col: str = "text") -> DataFrame:

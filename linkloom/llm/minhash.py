@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import components, in_groups, materialise, release
-from linkloom.llm.words import shingles, word_hashes
+from linkloom.llm.common import components, in_groups, lean, materialise, release
+from linkloom.llm.words import shingles, slices, word_hashes
 
 #: Bands of registers. A pair with similarity 0.8 misses all bands with probability 2e-6.
 BANDS, PER_BAND = 32, 5
@@ -90,20 +90,13 @@ def likely(up: np.ndarray, down: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, t
     return (top >= threshold - 1e-9) & (best - at <= nats)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Smaller batches: word hashing needs several times a batch's bytes."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def features(docs: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
     """doc_id, n_shingles, digest (128 bits of the whole set), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
         for batch in slices(batches):
-            hashes, _, _, first = word_hashes(batch.column(1))
+            hashes, first = word_hashes(batch.column(1))
             size, digest, regs = [], [], []
             for i in range(batch.num_rows):
                 s = np.unique(shingles(hashes[first[i] : first[i + 1]], width))
@@ -114,7 +107,7 @@ def features(docs: DataFrame, *, id_col: str, text_col: str, width: int) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "digest", "sketch"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch binary")
+    return rows.mapInArrow(lean(run), "doc_id long, n_shingles long, digest binary, sketch binary")
 
 
 def _id_filter(ids: DataFrame) -> np.ndarray:
@@ -137,13 +130,13 @@ def full_sets(docs: DataFrame, ids: DataFrame, *, id_col: str, text_col: str, wi
             h = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             hit = (bitmap.value[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1
             batch = batch.filter(pa.array(hit))
-            hashes, _, _, first = word_hashes(batch.column(1))
+            hashes, first = word_hashes(batch.column(1))
             sets = [np.unique(shingles(hashes[first[i] : first[i + 1]], width)).astype("<u8").tobytes() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
 
     key = F.col(id_col).cast("long")
     rows = docs.where(key.isNotNull()).select(key.alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(key).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("h"))
-    return rows.mapInArrow(run, "id long, shingles binary").join(ids, "id", "left_semi").dropDuplicates(["id", "shingles"])
+    return rows.mapInArrow(lean(run), "id long, shingles binary").join(ids, "id", "left_semi").dropDuplicates(["id", "shingles"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame:
@@ -160,7 +153,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame
 
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -179,7 +172,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
     left = reps.select(F.col("id").alias("a"), F.col("sketch").alias("x"), F.col("n_shingles").alias("n"))
     right = reps.select(F.col("id").alias("b"), F.col("sketch").alias("y"), F.col("n_shingles").alias("m"))
     near = pairs.join(left, "a").join(right, "b").where(100 * F.least("n", "m") >= round(100 * threshold) * F.greatest("n", "m"))
-    return near.select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a long, b long").distinct()
+    return near.select("a", "b", "x", "y", "n", "m").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _pairs_within(key: np.ndarray, skip) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -233,7 +226,7 @@ def _cross_links(members: DataFrame, reps: DataFrame, sets: DataFrame, threshold
     sized = members.join(reps.select("id", "sketch", "n_shingles"), "id")
     load = members.join(reps.select("id", "n_shingles"), "id").groupBy("bkey").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("words"))
     load = load.select("bkey", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("words") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    rows = sized.join(load, "bkey").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = sized.join(materialise(load, "minhash-load"), "bkey").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
     keys = ["bkey", "p", "q"]
 
@@ -277,7 +270,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     threshold = threshold_pct / 100
     feats = materialise(features(docs, **of), "minhash-features")
     slim = feats.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "n_shingles", "digest")
-    classes = slim.groupBy("digest").agg(F.min("doc_id").alias("class"))
+    # aggregates are written before they are joined: adaptive execution splits hot keys of plain scans only
+    classes = slim.groupBy("digest").agg(F.min("doc_id").alias("class"), F.max("doc_id").alias("high")).where("class < high").select("digest", "class")
+    classes = materialise(classes, "minhash-digests")
     # ids of equal sets, linked to the class's smallest id
     member = slim.join(classes, "digest").where("doc_id <> class").select(F.col("class").alias("a"), F.col("doc_id").alias("b"), "digest")
     copies = materialise(member.distinct(), "minhash-members")
@@ -288,24 +283,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 1 + 2 * PER_BAND * i, 2 * PER_BAND)) for i in range(BANDS)])
     bands = reps.select("id", F.posexplode(keys).alias("band", "bkey"))
     shared = bands.groupBy("bkey").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bkey")
-    met = materialise(bands.join(shared, "bkey"), "minhash-buckets")
+    met = materialise(bands.join(materialise(shared, "minhash-shared"), "bkey"), "minhash-buckets")
     ids = materialise(met.select("id").distinct(), "minhash-ids")
     sets = materialise(full_sets(docs, ids, **of), "minhash-sets")
     links = member
     for turn in range(star_rounds + 1):
         now = met.withColumn("comp", F.col("id"))
         if turn:
-            comp = components(links)
+            comp = materialise(components(links), "minhash-roots")
             now = met.join(comp.withColumnRenamed("root", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
             # only buckets that still hold several components
             open_ = now.groupBy("bkey").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bkey")
-            now = materialise(now.join(open_, "bkey"), "minhash-open")
+            now = materialise(now.join(materialise(open_, "minhash-open-keys"), "bkey"), "minhash-open")
         if turn == star_rounds:
             new = _cross_links(now, reps, sets, threshold_pct)
         else:
             # a representative by a bijection of the ids that differs with band and turn
             salt = F.xxhash64("band", F.lit(turn))
             star = now.groupBy("bkey", "band").agg(F.min(F.col("id").bitwiseXOR(salt)).alias("rep")).select("bkey", F.col("rep").bitwiseXOR(salt).alias("rep"))
+            star = materialise(star, "minhash-stars")
             pairs = now.join(star, "bkey").where("id <> rep")
             if turn:
                 mark = comp.select(F.col("id").alias("rep"), F.col("root").alias("rep_comp"))
@@ -314,7 +310,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             near = pairs.groupBy("id").agg(F.min("rep").alias("rep")).select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
             new = verified(_estimated(near, reps, threshold), sets, threshold_pct)
         links = links.unionByName(materialise(new, "minhash-links"))
-    roots = components(links)
+    roots = materialise(components(links), "minhash-roots")
     out = feats.select("doc_id", "n_shingles").join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("root", "doc_id")
     release(sets)
@@ -322,7 +318,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of docs that stay: one document of each group, with their columns."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **kw).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
+    """The rows of docs that stay: one document of each group, with their columns; rows without an id stay."""
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **kw).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     gone = materialise(gone, "minhash-gone")
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col].cast("long") == gone["doc_id"], "left_anti")

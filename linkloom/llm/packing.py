@@ -1,37 +1,47 @@
 """Packing by Karmarkar-Karp multiway differencing.
 
-Every document becomes token ids and an end id. Whole windows are cut from long documents; the
-rests are cut into halves, quarters and so on and pooled. A pool of POOL windows is partitioned
-by multiway differencing: the two partial partitions with the largest imbalance are merged so
-that the fullest windows of one meet the emptiest of the other, until one partition is left. Its
-windows are near-equal; if one exceeds the capacity, the number of windows rises by one and the
-pool is partitioned again. The last words of a task, less than a window, are cut at powers of two.
+Every document becomes token ids and an end id. Whole windows are cut from documents longer than
+one; what is left of each goes whole to a pool of POOL windows, which multiway differencing
+partitions: the two partial partitions with the largest imbalance are merged so that the fullest
+windows of one meet the emptiest of the other, until one partition is left. Its windows are
+near-equal; while one exceeds the capacity, the number of windows rises by one, RISES times at most
+(more would be padding). What still exceeds is cut off the largest items and fills the windows with
+room, so a document is cut where it must be. The last words of a task, less than a window, are cut
+at powers of two.
 
 Rows: null text is the empty text (one piece holding the end id); a null id is kept; rows that
-repeat are packed each; an empty table gives no piece. Long documents are tokenised whole. A pool
-belongs to a task, so memory is bounded by a batch and a pool, and a lost task is redone alone.
+repeat are packed each; an empty table gives no piece; other columns are ignored, whatever their
+names. Long documents are tokenised whole, in parts that end between words; runs of blanks or
+letters of any length are tokenised by the tokenizers library itself. A pool belongs to a task, so
+memory is bounded by a batch, a document and a pool, and a lost task is redone alone.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import lean
+from linkloom.llm.words import slices
+
 CAPACITY = 1024
-#: Windows of a pool, and the tokens left free in each on average so that near-equal windows fit.
-POOL = 128
-SLACK = 6
-#: Rests are halved down to pieces of about this size.
-LEAST = 16
+#: Windows of a pool, and how often their number may rise.
+POOL, RISES = 256, 1
+#: Characters that are tokenised at a time, at least; a longer run of word characters or blanks goes to the slower library.
+PART, LONG_RUN = 1 << 20, 1000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -71,54 +81,103 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return found
 
 
-def windows_of(sizes: list[int], capacity: int, k: int | None = None) -> list[list[int]]:
-    """Near-equal windows within capacity; k rises until all fit."""
+def windows_of(sizes: list[int], capacity: int, k: int | None = None, rises: int = RISES) -> list[list[tuple[int, int, int]]]:
+    """Windows of (item, from, length) within capacity: near-equal ones of whole items; k rises while
+    one exceeds the capacity, at most ``rises`` times. Then what still exceeds it is cut off the largest
+    items and fills the windows with room."""
     k = k or max(1, -(-sum(sizes) // capacity))
-    while True:
+    for last in [False] * rises + [True]:
         sets = differencing(sizes, k)
-        if max(sum(sizes[i] for i in s) for s in sets) <= capacity:
-            return [s for s in sets if s]
-        k += 1
-
-
-def cut_rest(rest: int, least: int = LEAST) -> list[int]:
-    """Halves, quarters, ... of a rest, so that pools have both coarse and fine items."""
-    out = []
-    while rest >= 2 * least:
-        out.append(rest - rest // 2)
-        rest //= 2
-    return out + ([rest] if rest else [])
+        if max((sum(sizes[i] for i in s) for s in sets), default=0) <= capacity:
+            return [[(i, 0, sizes[i]) for i in s] for s in sets if s]
+        if not last:
+            k += 1
+    out, over = [], []
+    for s in sets:
+        own = sorted(((sizes[i], i) for i in s), reverse=True)
+        excess = sum(x for x, _ in own) - capacity
+        window = []
+        for size, i in own:
+            cut = min(size, max(0, excess))
+            excess -= cut
+            if cut:
+                over.append((cut, i, size - cut))
+            if size > cut:
+                window.append((i, 0, size - cut))
+        out.append(window)
+    room = sorted((capacity - sum(x[2] for x in w), j) for j, w in enumerate(out))
+    for size, i, at in sorted(over, reverse=True):
+        while size:
+            pick = bisect_left(room, (size, -1))  # the window that it fills best, else the one with most room
+            free, j = room.pop(min(pick, len(room) - 1))
+            n = min(size, free)
+            out[j].append((i, at, n))
+            if free > n:
+                insort(room, (free - n, j))
+            size, at = size - n, at + n
+    return [w for w in out if w]
+
+
+def _parts(text: str, most: int = PART) -> Iterator[str]:
+    """Parts of a long text that begin at a blank between two words, where every pre-token ends."""
+    at = 0
+    while len(text) - at > most:
+        m = _BETWEEN.search(text, at + most)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
+def _longest_run(text: str) -> int:
+    """A bound on the length of a pre-token: the longest word, or all blanks but one between words."""
+    words = text.split()
+    lengths = list(map(len, words))
+    return max(max(lengths, default=0), len(text) - sum(lengths) - len(words))
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    """text -> ids of the byte-level BPE in a tokenizers file; special tokens' strings are plain text.
+def encoder(path: str) -> Callable[[str], np.ndarray]:
+    """text -> ids as the tokenizers library gives them from a file, without added special tokens.
 
     A byte-level BPE whose merges rank like their ids can be run from its vocabulary by the
-    tiktoken library, several times faster; probes decide at load whether both agree, else the
-    tokenizers library does all the work.
+    tiktoken library, several times faster; probes decide at load whether both agree. Texts that hold a
+    special token's string, and parts with a run of LONG_RUN characters without a change between
+    words and blanks, always go to the tokenizers library, as do all if the probes differ.
     """
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    added = list(slow.get_added_tokens_decoder().values())
+    special = [t.content for t in added]
     plain = lambda text: slow.encode(text, add_special_tokens=False).ids
+    fast = _fast(slow, plain, set(special))
+    whole = slow.normalizer is not None or any(t.lstrip or t.rstrip or any(c.isspace() for c in t.content) for t in added)
+
+    def encode(text: str) -> np.ndarray:
+        if whole or any(s in text for s in special):
+            return np.array(plain(text), "<u4")
+        ids = [np.array(plain(x) if fast is None or _longest_run(x) >= LONG_RUN else fast(x), "<u4") for x in _parts(text)]
+        return ids[0] if len(ids) == 1 else np.concatenate(ids)
+
+    return encode
+
+
+def _fast(slow, plain: Callable, special: set[str]) -> Callable | None:
     try:
         import tiktoken
     except ImportError:
-        return plain
-    special = {t.content for t in slow.get_added_tokens_decoder().values()}
+        return None
     to_byte = {c: b for b, c in byte_alphabet().items()}
     vocab = {w: i for w, i in slow.get_vocab().items() if w not in special}
     if any(c not in to_byte for w in vocab for c in w):
-        return plain
+        return None
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={bytes(to_byte[c] for c in w): i for w, i in vocab.items()}, special_tokens={})
-    probes = ["", "It's  a\n\n test\t42,000 ", "Étion çà — naïve ß", "日本語 テキスト🙂", "a" * 300, "   x\r\ny", "don't'LL 'S"]
+    probes = ["", "It's  a\n\n test\t42,000 ", "Étion çà — naïve ß", "日本語 テキスト🙂", "a" * 300, "   x\r\ny", "don't'LL 'S"]
     probes += [" ".join(sorted(vocab)[i : i + 400]) for i in range(0, len(vocab), 9973)]
-    if all(fast.encode_ordinary(p) == plain(p) for p in probes):
-        return fast.encode_ordinary
-    return plain
+    return fast.encode_ordinary if all(fast.encode_ordinary(p) == plain(p) for p in probes) else None
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -133,7 +192,7 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class _Packer:
-    """Packs the documents of one task; pieces come out as tuples without their sequence's final order."""
+    """Packs the documents of one task; pieces come out as tuples in the columns' order."""
 
     def __init__(self, task: int, capacity: int, pool: int):
         self.next_id, self.capacity, self.pool = task << 33, capacity, pool
@@ -149,7 +208,8 @@ class _Packer:
 
     def flush(self, items: list[tuple], k: int | None = None) -> None:
         for own in windows_of([len(x[2]) for x in items], self.capacity, k):
-            self.emit([items[i] for i in own])
+            pieces = [(items[i], at, n) for i, at, n in own]
+            self.emit([(doc_id, start + at, ids[at : at + n], tokens) for (doc_id, start, ids, tokens), at, n in pieces])
 
     def take(self, items: list[tuple], tokens: int) -> tuple[list, list]:
         """Cut a list of items after so many tokens."""
@@ -167,22 +227,19 @@ class _Packer:
         total, full = len(ids), len(ids) // self.capacity * self.capacity
         for at in range(0, full, self.capacity):
             self.emit([(doc_id, at, ids[at : at + self.capacity], total)])
-        at = full
-        for size in cut_rest(total - full):
-            self.items.append((doc_id, at, ids[at : at + size], total))
-            self.held += size
-            at += size
-        most = self.pool * (self.capacity - SLACK)
-        while self.held >= most:
-            now, self.items = self.take(self.items, most)
-            self.held -= most
-            self.flush(now, self.pool)
+        if total == full:
+            return
+        if self.held + total - full > self.pool * self.capacity:  # this rest is the next pool's first
+            self.flush(self.items)
+            self.items, self.held = [], 0
+        self.items.append((doc_id, full, ids[full:], total))
+        self.held += total - full
 
     def close(self) -> None:
-        whole = self.held // (self.capacity - SLACK)
+        whole = self.held // self.capacity
         if whole:
-            now, self.items = self.take(self.items, whole * (self.capacity - SLACK))
-            self.held -= whole * (self.capacity - SLACK)
+            now, self.items = self.take(self.items, whole * self.capacity)
+            self.held -= whole * self.capacity
             self.flush(now, whole)
         while self.held:
             size = 1 << (self.held.bit_length() - 1)
@@ -190,12 +247,10 @@ class _Packer:
             self.held -= size
             self.emit(now)
 
-    def drain(self) -> pd.DataFrame:
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        frame = pd.DataFrame(self.out, columns=names)
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
+    def drain(self) -> pa.RecordBatch:
+        cols = list(zip(*self.out)) if self.out else [()] * len(_NAMES)
         self.out = []
-        return frame
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], _NAMES)
 
 
 def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY, pool: int = POOL) -> DataFrame:
@@ -205,18 +260,16 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     the rows it reads.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         packer = _Packer(TaskContext.get().partitionId(), capacity, pool)
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = encode(text)
-                ids.append(end_id)
-                packer.add(None if pd.isna(doc_id) else int(doc_id), np.array(ids, "<u4"))
+        for batch in slices(batches):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                packer.add(doc_id, np.append(encode(text.as_py()), np.uint32(end_id)).astype("<u4"))
                 if len(packer.out) >= 20000:
                     yield packer.drain()
         packer.close()
         yield packer.drain()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, SCHEMA)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(lean(run), SCHEMA)

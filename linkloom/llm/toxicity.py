@@ -10,7 +10,8 @@ id; words and beginnings of words are learned that tell the classes apart beyond
 document is judged, whole.
 
 Rows: null text is the empty text; a document without an id is judged but can't be learned from;
-a null label leaves its row out of the training; rows that repeat are judged alike; without a
+a null label leaves its row out of the training; rows that repeat are judged alike, and of an id's
+several texts the one whose codes sort first is learned from; without a
 labelled row of each class a category's probability is the share of its positives, or 0. An empty
 table gives an empty result.
 """
@@ -26,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import lean
+
 #: Labelled rows that the chain is fitted on, at most (in expectation).
 SAMPLE = 12000
 FOLDS = 5
@@ -160,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, str]], *
 
     ys = ", ".join(f"y{i} double" for i in range(len(categories)))
     got = texts.join(F.broadcast(known), "id").mapInPandas(codes, f"id long, {ys}, codes binary")  # about `sample` rows
-    got = got.toPandas().drop_duplicates("id").sort_values("id")
+    got = got.toPandas().sort_values(["id", "codes"]).drop_duplicates("id")
     rows = [np.frombuffer(x, "<u4") for x in got["codes"]]
     return fit_chain(rows, got[[f"y{i}" for i in range(len(categories))]].to_numpy(float), [c for c, _ in categories])
 
@@ -180,4 +183,4 @@ def predict(docs: DataFrame, chain: Chain, *, id_col="doc_id", text_col="text")
             yield out
 
     schema = "doc_id long, " + ", ".join(f"p_{c} double" for c in chain.names) + ", toxic boolean"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(lean(run), schema)

@@ -2,14 +2,16 @@
 
 Words are runs of bytes other than blank and the control characters 9 to 13, with A-Z lowered.
 A word's hash is a polynomial over its bytes modulo 2**64, finished by a mixer; it is the same
-in every process. Work goes in chunks that end between words, so memory doesn't grow with the
-longest text.
+in every process.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -51,31 +53,51 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]] if len(at) else raw, at - at[0]
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, begin, end, first): one entry per word, byte offsets into the batch, and for each
-    row the number of its first word (one more entry at the end)."""
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first): one hash per word, and for each row the number of its first word (one more
+    entry at the end). Bytes are taken _CHUNK at a time, so a long text, or a word of any length,
+    needs little more than its words' hashes."""
     raw, rows = buffers(column)
-    is_word = _WORD[raw]
-    begins = is_word.copy()
-    begins[1:] &= ~is_word[:-1]
-    inner = rows[(rows > 0) & (rows < len(raw))]
-    begins[inner] = is_word[inner]
-    ends = is_word.copy()
-    ends[:-1] &= ~is_word[1:]
-    ends[inner - 1] = is_word[inner - 1]
-    begin, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    hashes = np.empty(len(begin), np.uint64)
-    at = 0
-    while at < len(begin):
-        low = begin[at]
-        to = max(at + 1, int(np.searchsorted(end, low + _CHUNK, "right")))
-        part = _LOWER[raw[low : end[to - 1]]].astype(np.uint64) + np.uint64(1)
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part * _power(_BASE, len(part)), out=sums[1:])
-        b, e = begin[at:to] - low, end[at:to] - low
-        hashes[at:to] = (sums[e] - sums[b]) * _power(_INVERSE, len(part))[b] + (e - b).astype(np.uint64)
-        at = to
-    return mix64(hashes), begin, end, np.searchsorted(begin, rows)
+    first = np.zeros(len(rows), np.int64)
+    out, begun, inside = [], 0, False
+    held = (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64))  # the open word's sum, inverse, place
+    carry, scale, unscale = 0, 1, 1
+    for p in range(0, len(raw), _CHUNK):
+        part = raw[p : p + _CHUNK]
+        n, is_word = len(part), _WORD[part]
+        before = np.concatenate([[inside], is_word[:-1]])
+        starts = is_word & ~before
+        lo, hi = np.searchsorted(rows, [p, p + n])
+        cuts = rows[lo:hi] - p
+        starts[cuts] = is_word[cuts]
+        b, e = np.flatnonzero(starts), np.flatnonzero(before & (~is_word | starts))  # words end before e
+        first[lo:hi] = begun + np.searchsorted(b, cuts)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((_LOWER[part].astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=sums[1:])
+        sums = sums * np.uint64(scale) + np.uint64(carry)
+        held = (np.append(held[0], sums[b]), np.append(held[1], _power(_INVERSE, n)[b] * np.uint64(unscale)), np.append(held[2], b + p))
+        k = len(e)
+        out.append((sums[e] - held[0][:k]) * held[1][:k] + (e + p - held[2][:k]).astype(np.uint64))
+        held = tuple(v[k:] for v in held)
+        carry, begun, inside = int(sums[-1]), begun + len(b), bool(is_word[-1])
+        scale, unscale = scale * pow(_BASE, n, 1 << 64) % (1 << 64), unscale * pow(_INVERSE, n, 1 << 64) % (1 << 64)
+    first[np.searchsorted(rows, len(raw)) :] = begun
+    if inside:
+        out.append((np.uint64(carry) - held[0]) * held[1] + (len(raw) - held[2]).astype(np.uint64))
+    return mix64(np.concatenate([*out, np.empty(0, np.uint64)])), first
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``most`` bytes of text in a column, or of one row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        _, ends = buffers(batch.column(column))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
