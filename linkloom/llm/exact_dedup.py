@@ -1,87 +1,117 @@
 """Exact dedup by an extendible-hash index kept in files that all tasks share.
 
-Build: every text has a 64-bit key. A directory of buckets over key prefixes grows by splitting
-each overfull bucket on its next bit, doubling the directory when the bucket is as deep as it.
-Contiguous buckets go to owner tasks, so an owner holds a key range. An owner's hash table
-chains the texts that collide on a key and tells them apart by comparing their bytes; copies
-are merged map-side first, so a text that a third of all rows share reaches its owner once from
-each map task. The pages hold one entry for each distinct text and no texts.
-
-Lookup: rows join the pages on key and digest. Digests are only trusted because the build has
-compared bytes: it fails loudly if two different texts of a chain had the same digest.
+Build: every text has a 64-bit key; owner tasks take ranges of keys, one owner for each prefix of
+``owner_bits`` bits. Map tasks merge the copies that they meet, a bounded number of bytes at a
+time, so that a text that a third of all rows share reaches its owner a few times from each; rows
+then go to their owner's partition by its number. The owner reads its rows in key order into its
+hash table: a key's texts are chained and told apart by comparing their bytes, an overfull bucket
+splits on its next key bit, and the directory doubles when the bucket was as deep as it. A bucket
+that the keys have passed goes to the pages, so an owner holds one bucket and one chain. Pages and
+the owners' parts of the directory are one table in the shared folder.
+
+Lookup: the directory is read back; a row's key leads through its slot to a bucket, and there
+key and digest to the entry. Digests are only trusted because the build has compared bytes: it
+fails loudly if two different texts of a chain had the same digest.
 
 Rows: null text is the empty text. Of equal texts the largest doc_id stays (null is smallest);
 of rows equal in id and text one stays. An empty table gives an empty result; extra columns and
-any column order are ignored. Nothing is cut from long texts.
+any column order are ignored, whatever their names. Nothing is cut from long texts.
 """
 
 from __future__ import annotations
 
-import json
-from dataclasses import dataclass, field
+import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import materialise, new_path
+from linkloom.llm.common import lean, materialise
+from linkloom.llm.words import slices
 
-#: Prefix bits of the finest directory: at most 2**CELL_BITS counts reach the driver.
-CELL_BITS = 14
+#: The directory has at most 2**MAX_DEPTH slots; buckets that deep grow instead of splitting.
+MAX_DEPTH = 20
 #: Distinct keys that a bucket holds before it splits.
 BUCKET_KEYS = 4096
-
-
-@dataclass
-class Directory:
-    """Extendible-hash directory over key prefixes. ``slots[prefix]`` is a bucket's number."""
-
-    capacity: int
-    max_depth: int = CELL_BITS
-    depth: int = 0
-    slots: list[int] = field(default_factory=lambda: [0])
-    buckets: list[tuple[int, int]] = field(default_factory=lambda: [(0, 0)])  # (local depth, prefix)
-
-    def grow(self, cells: dict[int, int]) -> "Directory":
-        """Split until no bucket above the finest depth is overfull. cells: keys per finest prefix."""
-        below = [0] * (1 << self.max_depth)
-        for cell, n in cells.items():
-            below[cell] = n
-        sums = [below]  # sums[d][prefix]: keys below a prefix of max_depth - d bits
-        for _ in range(self.max_depth):
-            last = sums[-1]
-            sums.append([last[2 * i] + last[2 * i + 1] for i in range(len(last) // 2)])
-        held = lambda depth, prefix: sums[self.max_depth - depth][prefix]
-        todo = list(range(len(self.buckets)))
-        while todo:
-            b = todo.pop()
-            depth, prefix = self.buckets[b]
-            if depth == self.max_depth or held(depth, prefix) <= self.capacity:
-                continue
-            if depth == self.depth:  # directory doubling
-                self.slots = [s for s in self.slots for _ in (0, 1)]
-                self.depth += 1
-            self.buckets[b] = (depth + 1, 2 * prefix)
-            self.buckets.append((depth + 1, 2 * prefix + 1))
-            new = len(self.buckets) - 1
-            wide = self.depth - depth - 1
-            first = (2 * prefix + 1) << wide
-            self.slots[first : first + (1 << wide)] = [new] * (1 << wide)
-            todo += [b, new]
-        return self
-
-    def cells(self, owners: int, counts: dict[int, int]) -> list[tuple[int, int, int]]:
-        """(finest prefix, bucket, owner): owners take contiguous key ranges of about equal load."""
-        order = sorted(range(len(self.buckets)), key=lambda b: self.buckets[b][1] << (self.max_depth - self.buckets[b][0]))
-        share = max(1, sum(counts.values())) / max(1, owners)
-        rows, before = [], 0
-        for b in order:
-            depth, prefix = self.buckets[b]
-            wide = self.max_depth - depth
-            owner = min(owners - 1, int(before / share))
-            for cell in range(prefix << wide, (prefix + 1) << wide):
-                rows.append((cell, b, owner))
-                before += counts.get(cell, 0)
-        return rows
+#: Bytes of texts among which a map task merges copies.
+MERGE_BYTES = 1 << 25
+#: Pages hold an entry for each distinct text, and for each bucket a row without key: the directory.
+PAGES = "owner int, bucket long, depth int, key long, chain int, text_sha256 string, keep_id long, group_size long"
+_NAMES = [x.split()[0] for x in PAGES.split(", ")]
+
+
+class Table:
+    """An owner's extendible hash table over the keys with its prefix, filled in ascending order of keys."""
+
+    def __init__(self, owner: int, bits: int, capacity: int, max_depth: int = MAX_DEPTH):
+        self.owner, self.capacity, self.max_depth = owner, capacity, max(max_depth, bits)
+        self.depth = bits  # the directory's
+        self.open = [(bits, owner, {})]  # buckets (depth, prefix, key -> entries), the lowest prefix last
+        self.key, self.chain = None, []  # the key at hand and its texts [text, keep_id, copies]
+        self.out: list[tuple] = []
+
+    def insert(self, key: int, text: str, doc_id: int | None, copies: int) -> None:
+        """key: unsigned. Equal texts meet in their key's chain and are found by comparing them."""
+        if key != self.key:
+            self._store()
+            self.key = key
+        for entry in self.chain:
+            if entry[0] == text:
+                if entry[1] is None or (doc_id is not None and doc_id > entry[1]):
+                    entry[1] = doc_id
+                entry[2] += copies
+                return
+        self.chain.append([text, doc_id, copies])
+
+    def _store(self) -> None:
+        """Put the chain at hand into its bucket."""
+        if not self.chain:
+            return
+        entries = sorted((hashlib.sha256(text.encode()).hexdigest(), keep, n) for text, keep, n in self.chain)
+        if len({e[0] for e in entries}) < len(entries):
+            raise ValueError("two texts of one key share a digest")
+        while self.open[-1][1] != self.key >> (64 - self.open[-1][0]):
+            self._page(*self.open.pop())
+        self.open[-1][2][self.key] = entries
+        self.chain = []
+        while len(self.open[-1][2]) > self.capacity and self.open[-1][0] < self.max_depth:
+            self._split()
+
+    def _split(self) -> None:
+        depth, prefix, held = self.open.pop()
+        depth += 1
+        self.depth = max(self.depth, depth)  # the directory doubles
+        halves: tuple[dict, dict] = ({}, {})
+        for key, entries in held.items():
+            halves[key >> (64 - depth) & 1][key] = entries
+        if halves[1]:  # keys ascend: nothing more comes for the lower half
+            self._page(depth, 2 * prefix, halves[0])
+            self.open.append((depth, 2 * prefix + 1, halves[1]))
+        else:
+            self.open += [(depth, 2 * prefix + 1, {}), (depth, 2 * prefix, halves[0])]
+
+    def _page(self, depth: int, prefix: int, held: dict) -> None:
+        bucket = _signed(prefix << (64 - depth))  # a bucket is named by its least key
+        self.out.append((self.owner, bucket, depth, None, None, None, None, None))
+        for key, entries in held.items():
+            self.out += [(self.owner, bucket, depth, _signed(key), i, *e) for i, e in enumerate(entries)]
+
+    def close(self) -> None:
+        self._store()
+        while self.open:
+            self._page(*self.open.pop())
+
+    def drain(self) -> pa.RecordBatch:
+        cols = list(zip(*self.out)) if self.out else [()] * len(_NAMES)
+        self.out = []
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], _NAMES)
+
+
+def _signed(key: int) -> int:
+    return key - (1 << 64) if key >> 63 else key
 
 
 def key_of(text: Column, key_bits: int = 64) -> Column:
@@ -90,70 +120,97 @@ def key_of(text: Column, key_bits: int = 64) -> Column:
     return key if key_bits >= 64 else key.bitwiseAND(F.lit(-(1 << (64 - key_bits))))
 
 
-def build_index(entries: DataFrame, texts: DataFrame, *, bucket_keys: int = BUCKET_KEYS, owners: int | None = None) -> tuple[DataFrame, Directory]:
-    """entries: (key, ...) of every row; texts: (doc_id, key, text). Returns the pages and the directory."""
-    spark = texts.sparkSession
-    cell = F.shiftrightunsigned("key", 64 - CELL_BITS).cast("int")
-    counts = {r[0]: r[1] for r in entries.groupBy("key").agg(F.count("*")).groupBy(cell.alias("cell")).count().collect()}
-    n = sum(counts.values())
-    directory = Directory(max(bucket_keys, -(-n // (1 << (CELL_BITS - 1))))).grow(counts)
-    owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    layout = spark.createDataFrame(directory.cells(owners, counts), "cell int, bucket int, owner int")
-    chains = (
-        texts.withColumn("cell", cell)
-        .join(F.broadcast(layout), "cell")  # 2**CELL_BITS rows at most
-        .groupBy("owner", "bucket", "key", "text")  # map-side merge, then byte comparison in the owner's table
-        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("owner", "bucket", "key", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
-    )
-    chains = materialise(chains, "exact-chains")
-    slot = Window.partitionBy("owner", "bucket", "key").orderBy("text_sha256")
-    pages = (
-        chains.repartition(owners, "owner")
-        .withColumn("chain", F.row_number().over(slot) - 1)
-        .withColumn("clash", F.lag("text_sha256").over(slot).eqNullSafe(F.col("text_sha256")))
-        .withColumn("text_sha256", F.when(F.col("clash"), F.raise_error(F.lit("two texts of one key share a digest"))).otherwise(F.col("text_sha256")))
-        .drop("clash")
-        .sortWithinPartitions("owner", "bucket", "key", "chain")
-    )
-    return materialise(pages, "exact-pages"), directory
-
-
-def save_directory(directory: Directory, spark, path: str | None = None) -> str:
-    """Keep the directory beside the pages, as one JSON line in the shared folder."""
-    path = path or new_path(spark, "exact-directory")
-    said = json.dumps({"depth": directory.depth, "slots": directory.slots, "buckets": directory.buckets})
-    spark.createDataFrame([(said,)], "value string").coalesce(1).write.text(path)
-    return path
-
-
-def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64, bucket_keys: int = BUCKET_KEYS, owners: int | None = None) -> DataFrame:
+def merged(rows: DataFrame) -> DataFrame:
+    """(key, text, doc_id, copies): copies that a task meets among MERGE_BYTES of texts become one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        size = 0
+
+        def rows_of() -> pa.RecordBatch:
+            cols = [[v[0] for v in held.values()], list(held), [v[1] for v in held.values()], [v[2] for v in held.values()]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["key", "text", "doc_id", "copies"])
+
+        for batch in slices(batches, column=2):
+            for doc_id, key, text in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                own = held.get(text)
+                if own is None:
+                    held[text] = [key, doc_id, 1]
+                    size += len(text) + 100
+                    continue
+                if own[1] is None or (doc_id is not None and doc_id > own[1]):
+                    own[1] = doc_id
+                own[2] += 1
+            if size >= MERGE_BYTES:
+                yield rows_of()
+                held, size = {}, 0
+        yield rows_of()
+
+    return rows.select("doc_id", "key", "text").mapInArrow(lean(run), "key long, text string, doc_id long, copies long")
+
+
+def build_index(rows: DataFrame, *, bucket_keys: int = BUCKET_KEYS, owner_bits: int | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """rows: (doc_id, key, text). Returns the index: pages and directory in one table."""
+    if owner_bits is None:
+        owner_bits = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length() - 1
+    bits = min(max(1, owner_bits), max_depth)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Table(TaskContext.get().partitionId(), bits, bucket_keys, max_depth)
+        for batch in slices(batches):
+            for key, text, doc_id, copies in zip(*[c.to_pylist() for c in batch.columns]):
+                table.insert(key % (1 << 64), text, doc_id, copies)
+            if len(table.out) >= 20000:
+                yield table.drain()
+        table.close()
+        yield table.drain()
+
+    dealt = merged(rows).repartitionById(1 << bits, F.shiftrightunsigned("key", 64 - bits).cast("int"))
+    return materialise(dealt.sortWithinPartitions("key").select("key", "text", "doc_id", "copies").mapInArrow(lean(own), PAGES), "exact-index")
+
+
+def slots(index: DataFrame) -> tuple[DataFrame, int]:
+    """The directory as stored, read back: (slot, bucket) of its 2**depth slots, and the depth."""
+    buckets = index.where("key IS NULL").select("bucket", "depth")
+    depth = buckets.agg(F.max("depth")).first()[0] or 1
+    first = F.shiftrightunsigned("bucket", 64 - depth)
+    wide = F.expr(f"shiftleft(1L, {depth} - depth)")
+    return buckets.select(F.explode(F.sequence(first, first + wide - 1)).alias("slot"), "bucket"), depth
+
+
+def look_up(entries: DataFrame, index: DataFrame) -> DataFrame:
+    """entries (key, text_sha256, ...) with bucket, chain, keep_id and group_size of their texts."""
+    directory, depth = slots(index)
+    found = entries.withColumn("slot", F.shiftrightunsigned("key", 64 - depth)).join(F.broadcast(directory), "slot")  # 2**MAX_DEPTH rows at most
+    pages = index.where("key IS NOT NULL").select("bucket", "key", "text_sha256", "chain", "keep_id", "group_size")
+    return found.drop("slot").join(pages, ["bucket", "key", "text_sha256"])
+
+
+def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64, bucket_keys: int = BUCKET_KEYS, owner_bits: int | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", key_of(F.col("text"), key_bits))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("key", key_of(F.col("text"), key_bits))
+    index = build_index(rows, bucket_keys=bucket_keys, owner_bits=owner_bits)
     entries = materialise(rows.select("doc_id", "key", F.sha2("text", 256).alias("text_sha256")), "exact-entries")
-    pages, directory = build_index(entries, rows, bucket_keys=bucket_keys, owners=owners)
-    save_directory(directory, docs.sparkSession)
-    found = entries.join(pages.drop("owner"), ["key", "text_sha256"])
+    found = look_up(entries, index)
     # rows that repeat both id and text: one of them stays
     repeats = entries.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("copies")).where("copies > 1")
-    if repeats.isEmpty():
-        kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-        return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "bucket", "chain")
-    once = Window.partitionBy("doc_id", "text_sha256").orderBy("key")
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(once) == 1)
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    if not repeats.isEmpty():
+        kept &= F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("key")) == 1
     return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "bucket", "chain")
 
 
 def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with their columns."""
+    """The rows of docs that stay, with their columns. Rows equal in id and text are one row's copies,
+    whatever their other columns hold: one of them stays."""
     found = exact_duplicates(docs, id_col=id_col, text_col=text_col)
     per = found.groupBy("doc_id", "text_sha256").agg(F.max(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("copies"))
     odd = materialise(per.where("kept = 0 OR copies > 1"), "exact-odd")
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    same = docs[id_col].cast("long").eqNullSafe(F.col("odd.doc_id")) & digest.eqNullSafe(F.col("odd.text_sha256"))
-    clean = docs.join(odd.alias("odd"), same, "left_anti")
+    digest = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)
+    same = lambda those: docs[id_col].cast("long").eqNullSafe(those["doc_id"]) & digest.eqNullSafe(those["text_sha256"])
+    clean = docs.join(odd, same(odd), "left_anti")
     again = odd.where("kept = 1")
     if again.isEmpty():
         return clean
-    one = docs.join(again.alias("odd"), same, "left_semi").dropDuplicates([id_col, text_col])
-    return clean.unionByName(one)
+    one = docs.join(again, same(again), "left_semi").select(F.struct(*docs.columns).alias("row"), docs[id_col].cast("long").alias("id"), digest.alias("digest"))
+    return clean.unionByName(one.dropDuplicates(["id", "digest"]).select("row.*"))
