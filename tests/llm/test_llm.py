@@ -66,16 +66,44 @@ def test_exact(docs, empty):
 
 
 def test_exact_collisions(docs):
-    """Four key bits: nearly all texts collide and are chained."""
+    """Four key bits: nearly all texts collide and are chained in their owner's table."""
     got = exact_dedup.exact_duplicates(docs, key_bits=4, bucket_keys=4)
     want = exact_dedup.exact_duplicates(docs)
     cols = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect())) and got.where("chain > 0").count() > 0
 
 
-def test_directory_splits():
-    d = exact_dedup.Directory(2, max_depth=4).grow({0: 2, 1: 2, 8: 1, 15: 1})
-    assert d.depth == 4 and len(d.slots) == 16 and d.slots[0] != d.slots[1] and d.slots[8] == d.slots[15]
+def test_exact_directory_is_read_back(docs):
+    """Two owners, buckets of three keys: they split; every key lies in its slot's bucket, every slot has one."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", exact_dedup.key_of(F.col("text")))
+    index = exact_dedup.build_index(rows, bucket_keys=3, owner_bits=1)
+    directory, depth = exact_dedup.slots(index)
+    slots = {r.slot: r.bucket for r in directory.collect()}
+    pages = index.where("key IS NOT NULL").collect()
+    assert depth > 2 and sorted(slots) == list(range(1 << depth)) and len(set(slots.values())) == index.where("key IS NULL").count()
+    sizes = {}
+    for p in pages:
+        assert slots[p.key % (1 << 64) >> (64 - depth)] == p.bucket and p.owner == p.key % (1 << 64) >> 63
+        sizes.setdefault(p.bucket, set()).add(p.key)
+    assert max(map(len, sizes.values())) <= 3 and len(pages) == rows.select("text").distinct().count()
+
+
+def test_table_splits_and_chains():
+    t = exact_dedup.Table(1, 1, 2, max_depth=5)
+    keys = [(1 << 63) + (k << 58) for k in (0, 0, 1, 2, 2, 3, 30, 31)]
+    for n, key in enumerate(keys):
+        t.insert(key, f"t{n}", n, 1)
+    t.insert(keys[-1], "t7", 70, 4)
+    t.close()
+    pages = [p for p in t.out if p[3] is not None]
+    assert {(p[3] % (1 << 64), p[6]) for p in pages} == {*zip(keys[:-1], range(7)), (keys[-1], 70)} and max(p[4] for p in pages) == 1
+    assert [p[7] for p in pages if p[6] == 70] == [5] and t.depth == 5
+    deep = {p[1] % (1 << 64): p[2] for p in t.out}
+    assert sum(1 << (5 - d) for d in deep.values()) == 16  # the buckets tile the owner's half
+    full = {}
+    for p in pages:
+        full.setdefault(p[1], set()).add(p[3])
+    assert max(map(len, full.values())) <= 2
 
 
 def brute_components(items, linked):
@@ -131,12 +159,46 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).columns == empty.columns
 
 
+def test_mixing_against_brute_force(docs):
+    """Per source: whole passes, then rows in order of hash as long as all below fit, then the fills."""
+    rows = mixing._rows(docs, "doc_id", "text", "source")
+    of = {}
+    for r in rows.collect():
+        of.setdefault(r.source, []).append((r.hash, r.size))
+    targets = mixing.water_fill({s: sum(x[1] for x in v) for s, v in of.items()}, sum(x[1] for v in of.values() for x in v))
+    for s, size, target, whole, below, most, *_ in mixing.planned(rows)[0]:
+        assert target == targets[s] and size == sum(x[1] for x in of[s])
+        left, own = target - whole * size, sorted(of[s])
+        want = [target - whole * size]
+        for b, m in zip(below, most):
+            taken = sum(x[1] for x in own if x[0] < b and x[1] <= m)
+            assert taken <= left + 1e-6  # the threshold fits the budget, and the next row would not
+            rest = [x for x in own if x[0] >= b and x[1] <= m]
+            if rest:
+                assert taken + sum(x[1] for x in rest if x[0] == rest[0][0]) > left - 1e-6 or left <= 0
+            left, own = left - taken, [x for x in own if not (x[0] < b and x[1] <= m)]
+        assert 0 <= left + 1e-6 <= want[0] + 2e-6
+
+
+def test_mixing_splits_copies(spark):
+    """Rows that repeat, rows without id: as many of the copies as the budget says, each at most thrice."""
+    rows = [(7, "one two three four", "a")] * 1000 + [(None, "x y", "b")] * 700 + [(None, "x y z", "b")] * 300 + [(i, "w " * 5, "c") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5).withColumn("row", F.lit(1)).withColumn("place", F.lit("p"))
+    got = mixing.mix(df, total=9000.0)
+    per = {r.source: r for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") / F.col("size")).alias("most")).collect()}
+    for r in per.values():
+        assert abs(r.taken - r.target) < 5 and r.most <= 3
+    copies = mixing.mixed_documents(df, total=9000.0)
+    words = {r.source: r.n for r in copies.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD))).alias("n")).collect()}
+    assert copies.columns == df.columns and words == {s: r.taken for s, r in per.items()}
+
+
 def test_water_fill():
     got = mixing.water_fill({"a": 10, "b": 100, None: 10}, 120)
     assert got["a"] == 30 and got[None] == pytest.approx(30) and sum(got.values()) == pytest.approx(120)
 
 
-def test_packing(docs, empty):
+def test_packing(spark, docs, empty):
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_path()
@@ -158,10 +220,55 @@ def test_packing(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_cuts_only_on_need(spark, docs):
+    path = queries.tokenizer_path()
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"], int(n)))) for i, n in enumerate(rng.integers(1, 900, 600))]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path).toPandas()
+    lengths = got.groupby("sequence_id")["length"].sum()
+    assert sum(1024 - n for n in lengths if n & (n - 1)) <= 0.01 * lengths.sum()
+    pieces, need = got.groupby("doc_id").size(), -(-got.groupby("doc_id")["doc_tokens"].first() // 1024)
+    assert (pieces > need).sum() < 0.35 * len(rows)
+
+
+def test_tokens_are_those_of_the_library():
+    """Special tokens' strings, long runs, parts of long texts."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    encode, slow = packing.encoder(path), Tokenizer.from_file(path)
+    rng = np.random.default_rng(9)
+    for text in ["a <|endoftext|> b", "<|endoftext|>", " " * 10**6, "a" * 10**5, "\t\n " * 5000 + "x", "don't  stop " * 200000, "é日 " * 5000 + "🙂" * 2000] + ["".join(rng.choice(list("ab '1.\n\té日"), 300)) for _ in range(50)]:
+        assert encode(text).tolist() == slow.encode(text, add_special_tokens=False).ids, text[:40]
+
+
 def test_differencing():
     sets = packing.differencing([8, 7, 6, 5, 4], 2)
     assert sorted(i for s in sets for i in s) == [0, 1, 2, 3, 4] and abs(sum([8, 7, 6, 5, 4][i] for i in sets[0]) - 15) <= 1
-    assert all(sum([700, 700, 700][i] for i in s) <= 1024 for s in packing.windows_of([700, 700, 700], 1024))
+    assert all(sum(n for _, _, n in w) <= 1024 for w in packing.windows_of([700, 700, 700], 1024))
+    assert packing.windows_of([], 10) == []
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_windows_against_brute_force(seed):
+    """Differencing is near the best of all partitions; windows hold each item once and fit."""
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, 100, int(rng.integers(1, 9))).tolist()
+    sums = lambda sets: [sum(sizes[i] for i in s) for s in sets]
+    best = min(max(sums([[i for i, x in enumerate(p) if x == j] for j in range(3)])) for p in itertools.product(range(3), repeat=len(sizes)))
+    got = packing.differencing(sizes, 3)
+    assert sorted(i for s in got for i in s) == list(range(len(sizes))) and max(sums(got)) <= 4 / 3 * best
+    for k in (None, 2):
+        if k and sum(sizes) > 2 * 150:
+            continue
+        windows = packing.windows_of(sizes, 150, k)
+        assert all(sum(n for _, _, n in w) <= 150 for w in windows) and len(windows) <= (k or -(-sum(sizes) // 150)) + packing.RISES
+        for i, size in enumerate(sizes):
+            at = 0
+            for a, n in sorted((a, n) for w in windows for j, a, n in w if j == i):
+                assert a == at and n > 0
+                at += n
+            assert at == size
 
 
 def test_language_id(spark, docs, empty):
