@@ -128,7 +128,8 @@ def in_groups(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame], pd.D
         if held is not None:
             yield run(held)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(lean(whole), schema)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said, so that few bytes don't mean few tasks
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys).mapInPandas(lean(whole), schema)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -> DataFrame:

@@ -9,7 +9,8 @@ splits on its next key bit, and the directory doubles when the bucket was as dee
 that the keys have passed goes to the pages, so an owner holds one bucket and one chain. Pages and
 the owners' parts of the directory are one table in the shared folder.
 
-Lookup: the directory is read back; a row's key leads through its slot to a bucket, and there
+To drop copies, whole rows travel in place of texts and the owners' tables give back the rows that
+stay. Lookup, for a report on every row: the directory is read back; a row's key leads through its slot to a bucket, and there
 key and digest to the entry. Digests are only trusted because the build has compared bytes: it
 fails loudly if two different texts of a chain had the same digest.
 
@@ -21,12 +22,14 @@ any column order are ignored, whatever their names. Nothing is cut from long tex
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from linkloom.llm.common import lean, materialise
 from linkloom.llm.words import slices
@@ -51,25 +54,28 @@ class Table:
         self.open = [(bits, owner, {})]  # buckets (depth, prefix, key -> entries), the lowest prefix last
         self.key, self.chain = None, []  # the key at hand and its texts [text, keep_id, copies]
         self.out: list[tuple] = []
+        self.kept: list = []
 
-    def insert(self, key: int, text: str, doc_id: int | None, copies: int) -> None:
-        """key: unsigned. Equal texts meet in their key's chain and are found by comparing them."""
+    def insert(self, key: int, text: str, doc_id: int | None, copies: int, row=None) -> None:
+        """key: unsigned. Equal texts meet in their key's chain and are found by comparing them.
+        row: what stands for the row; that of each text's largest doc_id ends in ``kept``."""
         if key != self.key:
             self._store()
             self.key = key
         for entry in self.chain:
             if entry[0] == text:
                 if entry[1] is None or (doc_id is not None and doc_id > entry[1]):
-                    entry[1] = doc_id
+                    entry[1], entry[3] = doc_id, row
                 entry[2] += copies
                 return
-        self.chain.append([text, doc_id, copies])
+        self.chain.append([text, doc_id, copies, row])
 
     def _store(self) -> None:
         """Put the chain at hand into its bucket."""
         if not self.chain:
             return
-        entries = sorted((hashlib.sha256(text.encode()).hexdigest(), keep, n) for text, keep, n in self.chain)
+        self.kept += [row for *_, row in self.chain]
+        entries = sorted((hashlib.sha256(text.encode()).hexdigest(), keep, n) for text, keep, n, _ in self.chain)
         if len({e[0] for e in entries}) < len(entries):
             raise ValueError("two texts of one key share a digest")
         while self.open[-1][1] != self.key >> (64 - self.open[-1][0]):
@@ -120,53 +126,75 @@ def key_of(text: Column, key_bits: int = 64) -> Column:
     return key if key_bits >= 64 else key.bitwiseAND(F.lit(-(1 << (64 - key_bits))))
 
 
-def merged(rows: DataFrame) -> DataFrame:
-    """(key, text, doc_id, copies): copies that a task meets among MERGE_BYTES of texts become one row."""
+def rows_of(docs: DataFrame, id_col: str, text_col: str, key_bits: int = 64) -> DataFrame:
+    """(doc_id, key, text)."""
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), key_of(text, key_bits).alias("key"), text.alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
-        size = 0
 
-        def rows_of() -> pa.RecordBatch:
-            cols = [[v[0] for v in held.values()], list(held), [v[1] for v in held.values()], [v[2] for v in held.values()]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["key", "text", "doc_id", "copies"])
+def merged(rows: DataFrame, text: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """rows (doc_id, key, ...) with the number of copies: of the copies that a task meets among MERGE_BYTES
+    of texts only the row with the largest doc_id goes on."""
+    names = rows.columns
 
-        for batch in slices(batches, column=2):
-            for doc_id, key, text in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                own = held.get(text)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}  # text -> row number, doc_id, copies
+        parts: list[pa.RecordBatch] = []
+        size = seen = 0
+
+        def merge() -> Iterator[pa.RecordBatch]:
+            best = pa.Table.from_batches(parts).take(pa.array([v[0] for v in held.values()], pa.int64()))
+            yield from best.append_column("copies", pa.array([v[2] for v in held.values()], pa.int64())).combine_chunks().to_batches()
+
+        for batch in slices(batches, text):
+            parts.append(batch)
+            for n, (doc_id, x) in enumerate(zip(batch.column(0).to_pylist(), text(batch).to_pylist()), seen):
+                own = held.get(x or "")
                 if own is None:
-                    held[text] = [key, doc_id, 1]
-                    size += len(text) + 100
+                    held[x or ""] = [n, doc_id, 1]
                     continue
                 if own[1] is None or (doc_id is not None and doc_id > own[1]):
-                    own[1] = doc_id
+                    own[:2] = n, doc_id
                 own[2] += 1
+            seen, size = seen + batch.num_rows, size + batch.nbytes
             if size >= MERGE_BYTES:
-                yield rows_of()
-                held, size = {}, 0
-        yield rows_of()
+                yield from merge()
+                held, parts, size, seen = {}, [], 0, 0
+        if parts:
+            yield from merge()
+
+    schema = StructType([*rows.schema.fields, StructField("copies", LongType())])
+    return rows.mapInArrow(lean(run), schema).select(*names, "copies")
+
 
-    return rows.select("doc_id", "key", "text").mapInArrow(lean(run), "key long, text string, doc_id long, copies long")
+def dealt(rows: DataFrame, text: Callable, bits: int) -> DataFrame:
+    """Merged rows in their owners' partitions, in order of their keys."""
+    return merged(rows, text).repartitionById(1 << bits, F.shiftrightunsigned("key", 64 - bits).cast("int")).sortWithinPartitions("key")
+
+
+def owner_bits_of(spark: SparkSession, most: int = MAX_DEPTH) -> int:
+    return min(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length() - 1), most)
 
 
 def build_index(rows: DataFrame, *, bucket_keys: int = BUCKET_KEYS, owner_bits: int | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
     """rows: (doc_id, key, text). Returns the index: pages and directory in one table."""
-    if owner_bits is None:
-        owner_bits = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length() - 1
-    bits = min(max(1, owner_bits), max_depth)
+    bits = owner_bits or owner_bits_of(rows.sparkSession, max_depth)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(TaskContext.get().partitionId(), bits, bucket_keys, max_depth)
-        for batch in slices(batches):
-            for key, text, doc_id, copies in zip(*[c.to_pylist() for c in batch.columns]):
+        for batch in slices(batches, _third):
+            for doc_id, key, text, copies in zip(*[c.to_pylist() for c in batch.columns]):
                 table.insert(key % (1 << 64), text, doc_id, copies)
             if len(table.out) >= 20000:
                 yield table.drain()
         table.close()
         yield table.drain()
 
-    dealt = merged(rows).repartitionById(1 << bits, F.shiftrightunsigned("key", 64 - bits).cast("int"))
-    return materialise(dealt.sortWithinPartitions("key").select("key", "text", "doc_id", "copies").mapInArrow(lean(own), PAGES), "exact-index")
+    return materialise(dealt(rows, _third, bits).mapInArrow(lean(own), PAGES), "exact-index")
+
+
+def _third(batch: pa.RecordBatch) -> pa.Array:
+    return batch.column(2)
 
 
 def slots(index: DataFrame) -> tuple[DataFrame, int]:
@@ -188,7 +216,7 @@ def look_up(entries: DataFrame, index: DataFrame) -> DataFrame:
 
 def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64, bucket_keys: int = BUCKET_KEYS, owner_bits: int | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("key", key_of(F.col("text"), key_bits))
+    rows = rows_of(docs, id_col, text_col, key_bits)
     index = build_index(rows, bucket_keys=bucket_keys, owner_bits=owner_bits)
     entries = materialise(rows.select("doc_id", "key", F.sha2("text", 256).alias("text_sha256")), "exact-entries")
     found = look_up(entries, index)
@@ -200,17 +228,34 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "bucket", "chain")
 
 
-def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with their columns. Rows equal in id and text are one row's copies,
-    whatever their other columns hold: one of them stays."""
-    found = exact_duplicates(docs, id_col=id_col, text_col=text_col)
-    per = found.groupBy("doc_id", "text_sha256").agg(F.max(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("copies"))
-    odd = materialise(per.where("kept = 0 OR copies > 1"), "exact-odd")
-    digest = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)
-    same = lambda those: docs[id_col].cast("long").eqNullSafe(those["doc_id"]) & digest.eqNullSafe(those["text_sha256"])
-    clean = docs.join(odd, same(odd), "left_anti")
-    again = odd.where("kept = 1")
-    if again.isEmpty():
-        return clean
-    one = docs.join(again, same(again), "left_semi").select(F.struct(*docs.columns).alias("row"), docs[id_col].cast("long").alias("id"), digest.alias("digest"))
-    return clean.unionByName(one.dropDuplicates(["id", "digest"]).select("row.*"))
+def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """The rows of docs that stay, with their columns, straight from the owners' tables: whole rows travel to
+    them, once. Rows equal in id and text are copies, whatever their other columns hold: one stays."""
+    bits = owner_bits_of(docs.sparkSession)
+    text = docs[text_col].cast("string")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), key_of(F.coalesce(text, F.lit(""))).alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"), *([] if dict(docs.dtypes)[text_col] == "string" else [text.alias("text")]))
+    place = docs.columns.index(text_col)
+
+    def text_of(batch: pa.RecordBatch) -> pa.Array:
+        return pa.compute.struct_field(batch.column(2), [place]) if batch.column(2).type[place].type in (pa.string(), pa.large_string()) else batch.column(3)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Table(TaskContext.get().partitionId(), bits, bucket_keys)
+
+        def kept() -> Iterator[pa.RecordBatch]:
+            of: dict[int, tuple] = {}
+            for part, n in table.kept:
+                of.setdefault(id(part), (part, []))[1].append(n)
+            table.kept, table.out = [], []
+            for part, ns in of.values():
+                yield part.select(["row"]).take(pa.array(ns, pa.int64()))
+
+        for batch in slices(batches, text_of):
+            copies = batch.column(batch.num_columns - 1).to_pylist()
+            for n, (doc_id, key, x) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_of(batch).to_pylist())):
+                table.insert(key % (1 << 64), x or "", doc_id, copies[n], (batch, n))
+            yield from kept()
+        table.close()
+        yield from kept()
+
+    return dealt(rows, text_of, bits).mapInArrow(lean(own), StructType([StructField("row", docs.schema)])).select("row.*")

@@ -7,7 +7,7 @@ in every process.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,12 +87,12 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mix64(np.concatenate([*out, np.empty(0, np.uint64)])), first
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """Batches of at most ``most`` bytes of text in a column, or of one row."""
+def slices(batches: Iterator[pa.RecordBatch], text: Callable = lambda batch: batch.column(1), most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``most`` bytes of text, or of one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, ends = buffers(batch.column(column))
+        _, ends = buffers(text(batch))
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)

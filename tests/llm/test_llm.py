@@ -61,7 +61,10 @@ def test_exact(docs, empty):
         t = next(k for k in by if hashlib.sha256(k.encode()).hexdigest() == r.text_sha256)
         assert r.group_size == len(by[t]) and r.keep_id == max((i for i in by[t] if i is not None), default=None)
     assert sum(r.kept for r in got) == len(by)
-    assert exact_dedup.drop_exact_duplicates(docs).count() == len(by)
+    left = exact_dedup.drop_exact_duplicates(docs.withColumn("row", F.lit(1)).withColumn("copies", F.array(F.lit(2))), bucket_keys=4)
+    assert left.columns == [*docs.columns, "row", "copies"] and sorted((r.text or "", r.doc_id or -1) for r in left.collect()) == sorted((t, max((i for i in v if i is not None), default=-1)) for t, v in by.items())
+    assert exact_dedup.drop_exact_duplicates(empty).count() == 0
+    assert exact_dedup.drop_exact_duplicates(docs.select("doc_id", F.col("doc_id").alias("text"))).count() == docs.select("doc_id").distinct().count()
     assert exact_dedup.exact_duplicates(empty).count() == 0
 
 
@@ -75,7 +78,7 @@ def test_exact_collisions(docs):
 
 def test_exact_directory_is_read_back(docs):
     """Two owners, buckets of three keys: they split; every key lies in its slot's bucket, every slot has one."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", exact_dedup.key_of(F.col("text")))
+    rows = exact_dedup.rows_of(docs, "doc_id", "text")
     index = exact_dedup.build_index(rows, bucket_keys=3, owner_bits=1)
     directory, depth = exact_dedup.slots(index)
     slots = {r.slot: r.bucket for r in directory.collect()}
