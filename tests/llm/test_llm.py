@@ -305,7 +305,7 @@ def test_substrings(docs, empty):
 
 def test_compact_windows_cover_each_subsequence_once():
     rng = np.random.default_rng(3)
-    h = np.concatenate([rng.permutation(60), rng.integers(0, 5, 40), np.zeros(20), [1] * 6]).astype(np.uint64)
+    h = np.concatenate([rng.permutation(60), rng.integers(0, 5, 40), np.zeros(20), [1] * 6]).astype(np.uint64) << np.uint64(40)
     first = np.array([0, 60, 60, 100, 120, 126])
     tree = list(zip(*substring_dedup.compact_windows(h, first, 7)))
     for i in range(5):
