@@ -113,7 +113,7 @@ def features(docs: DataFrame, *, id_col: str, text_col: str, width: int) -> Data
 def _id_filter(ids: DataFrame) -> np.ndarray:
     """A bitmap of fixed size that holds all ids (and, by chance, a few others)."""
     h = ids.select(F.xxhash64("id").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("h"))
-    words = h.groupBy(F.shiftright("h", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(h & 63)))").alias("b")).toPandas()
+    words = h.groupBy(F.shiftright("h", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(h & 63)))").alias("b")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     out[words["w"].to_numpy()] = words["b"].to_numpy()
     return out.view(np.uint64)
