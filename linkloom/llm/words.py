@@ -45,8 +45,8 @@ def _power(base: int, n: int) -> np.ndarray:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; null is the empty text."""
-    column = pa.compute.fill_null(column.cast(pa.large_string()), "")
+    """(bytes, offsets) of a string or binary column; null is the empty text."""
+    column = pa.compute.fill_null(column.cast(pa.large_binary()), b"")
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
