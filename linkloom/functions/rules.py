@@ -61,7 +61,10 @@ SOUND_PAIRS = [
 DIGITS_FOR_LETTERS = ("0134568", "oleasgb")
 
 # Words that a rival's name key leaves out.
-RIVAL_STOP_WORDS = "llc inc ltd limited pvt private corp corporation co company the lp llp pc pa plc pllc sarl sas sasu eurl sa sci and of".split()
+RIVAL_STOP_WORDS = [
+    "llc", "inc", "ltd", "limited", "pvt", "private", "corp", "corporation", "co", "company", "the", "lp", "llp", "pc", "pa",
+    "plc", "pllc", "sarl", "sas", "sasu", "eurl", "sa", "sci", "and", "of",
+]
 
 # Patterns.
 WEBSITE = r"(https?://)?(www\.)?([a-z0-9-]+)\.(com|net|org|in|co|biz|info|fr|us|io)(\.[a-z]{2})?\b"

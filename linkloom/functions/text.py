@@ -38,8 +38,9 @@ def lookup(pairs: dict[str, str]) -> Column:
 
 
 def mapped(array: Column, pairs: dict[str, str]) -> Column:
+    """Words replaced; a hashed test first, since a map is searched entry by entry."""
     table = lookup(pairs)
-    return F.transform(array, lambda w: F.coalesce(F.try_element_at(table, w), w))
+    return F.transform(array, lambda w: F.when(w.isin(list(pairs)), F.try_element_at(table, w)).otherwise(w))
 
 
 def basic_clean(c: Column, native: bool = False) -> Column:
@@ -57,21 +58,34 @@ def basic_clean(c: Column, native: bool = False) -> Column:
 def replace_phrases(c: Column, phrases: dict[str, str]) -> Column:
     """Whole-word phrases, longest first; single words by the word array."""
     many = sorted((p for p in phrases if " " in p), key=lambda p: (-len(p), p))
-    for p in many:
-        c = F.regexp_replace(c, rf"\b{re.escape(p)}\b", phrases[p])
+    if many:  # one pass tells whether the text holds any
+        done = c
+        for p in many:
+            done = F.regexp_replace(done, rf"\b{re.escape(p)}\b", phrases[p])
+        c = F.when(c.rlike(rf"\b({'|'.join(map(re.escape, many))})\b"), done).otherwise(c)
     single = {p: v for p, v in phrases.items() if " " not in p}
     return joined(mapped(words(c), single)) if single else c
 
 
-def name_parts(cleaned: Column) -> tuple[Column, Column, Column]:
-    """(name_clean, name_core, legal_form) of a text that basic_clean has been through."""
+def name_struct(cleaned: Column) -> Column:
+    """name_clean, name_core and legal_form of a text that basic_clean has been through, in one struct:
+    its words are split once."""
     t = F.regexp_replace(cleaned, r"^(m s|messrs)\s+(?=\S)", "")
     t = F.regexp_replace(t, r"(?<=[a-z])0(?=[a-z])", "o")
-    w = F.array_distinct(words(replace_phrases(t, rules.LETTER_SEQUENCES)))
-    table = lookup(rules.LEGAL_WORDS)
-    forms = F.array_sort(F.array_distinct(F.filter(F.transform(w, lambda x: F.try_element_at(table, x)), lambda x: x.isNotNull())))
-    core = F.filter(w, lambda x: F.try_element_at(table, x).isNull())
-    return joined(w), joined(F.when(F.size(core) > 0, core).otherwise(w)), joined(forms)
+    table, known = lookup(rules.LEGAL_WORDS), list(rules.LEGAL_WORDS)
+
+    def parts(w: Column) -> Column:
+        forms = F.array_sort(F.array_distinct(F.transform(F.filter(w, lambda x: x.isin(known)), lambda x: F.try_element_at(table, x))))
+        core = joined(F.filter(w, lambda x: ~x.isin(known)))
+        return F.struct(joined(w).alias("name_clean"), F.when(core != "", core).otherwise(joined(w)).alias("name_core"), joined(forms).alias("legal_form"))
+
+    return F.get(F.transform(F.array(F.array_distinct(words(replace_phrases(t, rules.LETTER_SEQUENCES)))), parts), F.lit(0))
+
+
+def name_parts(cleaned: Column) -> tuple[Column, Column, Column]:
+    """(name_clean, name_core, legal_form), each a column of its own."""
+    parts = name_struct(cleaned)
+    return parts["name_clean"], parts["name_core"], parts["legal_form"]
 
 
 def clean_address(cleaned: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +16,14 @@ def one_row(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"))
 
 
-def records(rows: DataFrame, row: str) -> DataFrame:
-    """Per record what the features need. rows: clean table with a row id."""
-    key = text.name_key(F.col("name_core"))
+def records(rows: DataFrame, row: str, word_map: dict[str, str] | None = None, noise: Sequence[str] = ()) -> DataFrame:
+    """Per record what the features need. rows: clean table with a row id; word_map, noise: learned words."""
+    key = text.name_key(F.col("name_core"), word_map, noise)
     return rows.select(
         row, F.col("name_core").alias("core"), F.col("name_clean").alias("clean"), F.col("legal_form").alias("legal"), F.col("addr_clean").alias("addr"),
         key.alias("key"), text.sound_skeleton(F.col("name_core")).alias("sound"), text.initials(key).alias("acronym"),
         text.first_number(F.col("addr_clean")).alias("house"), text.postcode(F.col("addr_clean")).alias("zip"), text.legal_bits(F.col("legal_form")).alias("bits"),
+        F.filter(text.words(F.col("name_core")), lambda w: w.isin(list(noise))).alias("noise"),
     )
 
 
@@ -69,13 +72,14 @@ def _overlap(pairs: DataFrame, one: DataFrame, two: DataFrame, column: str, pref
     return out
 
 
-def pair_features(candidates: DataFrame, s1: DataFrame, s23: DataFrame) -> DataFrame:
+def pair_features(candidates: DataFrame, s1: DataFrame, s23: DataFrame, word_map: dict[str, str] | None = None, noise: Sequence[str] = ()) -> DataFrame:
     """candidates (from combine_and_trim, with source) and two clean tables to the 69 columns.
 
-    Competition is counted over all candidates; rescue rows keep rank -1.
+    Competition is counted over all candidates; rescue rows keep rank -1. word_map and noise are the
+    learned words (learning.word_lists); without them name_noise_added is 0.
     """
     # each is read many times below; kept, they are leaves of the plan
-    one, two, candidates = records(s1, "s1").persist(), records(s23, "s23").persist(), candidates.persist()
+    one, two, candidates = records(s1, "s1", word_map, noise).persist(), records(s23, "s23", word_map, noise).persist(), candidates.persist()
     base = candidates.select("s1", "s23")
     vocabulary = one.select(F.explode(text.words(F.col("core"))).alias("word"))
     fuzzy1 = fuzzy_legal_bits(one, "clean", "s1").withColumnRenamed("fuzzy", "fuzzy1")
@@ -96,9 +100,9 @@ def pair_features(candidates: DataFrame, s1: DataFrame, s23: DataFrame) -> DataF
     })
     flag = lambda c: c.cast("double")
     w1, w2 = text.words(F.col("core1")), text.words(F.col("core2"))
-    ends = lambda i: flag(F.coalesce(F.try_element_at(w1, F.lit(i)) == F.try_element_at(w2, F.lit(i)), F.lit(False)))
-    joined1, joined2 = F.replace(F.col("key1"), F.lit(" "), F.lit("")), F.replace(F.col("key2"), F.lit(" "), F.lit(""))
-    acronym = lambda acr, key: (acr != "") & F.startswith(key, acr)
+    ends = lambda i: flag(F.try_element_at(w1, F.lit(i)).eqNullSafe(F.try_element_at(w2, F.lit(i))))  # noqa: E731  two empty names agree
+    blanks = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
+    fuzzy_known = (F.col("fuzzy1") > 0) & (F.col("fuzzy2") > 0)
     no1, no2 = F.col("legal1") == "", F.col("legal2") == ""
     num1, num2 = F.array_distinct(text.number_words(F.col("addr1"))), F.array_distinct(text.number_words(F.col("addr2")))
     shared = F.size(F.array_intersect(num1, num2))
@@ -110,16 +114,17 @@ def pair_features(candidates: DataFrame, s1: DataFrame, s23: DataFrame) -> DataF
         "name_ratio": F.col("_n.ratio"), "name_token_set": F.col("_n.token_set"), "name_token_sort": F.col("_n.token_sort"), "name_partial": F.col("_n.partial"),
         "name_jaro_winkler": F.col("_n.jaro_winkler"), "name_levenshtein": levenshtein_similarity(*pair("core")), "name_full_ratio": F.col("_c.ratio"),
         "name_sound_ratio": F.col("_s.ratio"), "name_sound_token_set": F.col("_s.token_set"),
-        "name_length_diff": flag(F.abs(F.length("core1") - F.length("core2"))), "name_word_count_diff": flag(F.abs(F.size(w1) - F.size(w2))),
+        "name_length_diff": flag(F.abs(F.length("core1") - F.length("core2"))), "name_word_count_diff": flag(F.abs(blanks(F.col("core1")) - blanks(F.col("core2")))),
         "name_first_word_equal": ends(1), "name_last_word_equal": ends(-1), "name_exact_equal": flag(F.col("core1") == F.col("core2")),
         "key_joined_ratio": F.col("_j.ratio"), "key_joined_partial": F.col("_j.partial"),
-        "key_acronym": flag(acronym(F.col("acronym1"), joined2) | acronym(F.col("acronym2"), joined1)),
+        "key_acronym": flag((F.col("acronym1") != "") & F.startswith("key2", "acronym1")),
         "key_ratio": F.col("_k.ratio"), "key_token_set": F.col("_k.token_set"), "key_containment": F.try_divide("_key_shared", F.least("_key_a", "_key_b")),
         "key_only_s1_idf": F.col("_key_a") - F.col("_key_shared"), "key_only_s23_idf": F.col("_key_b") - F.col("_key_shared"), "key_equal": flag(F.col("key1") == F.col("key2")),
-        "legal_equal": flag(F.col("legal1") == F.col("legal2")), "legal_conflict": flag(~no1 & ~no2 & (F.col("legal1") != F.col("legal2"))), "legal_any_missing": flag(no1 | no2),
-        "legal_s1_only": flag(~no1 & no2), "legal_s23_only": flag(no1 & ~no2), "legal_form_s1": F.col("legal1"), "legal_form_s23": F.col("legal2"),
-        "legal_fuzzy_equal": flag(F.col("fuzzy1") == F.col("fuzzy2")), "legal_dropped": flag(text.bits_missing(F.col("fuzzy1"), F.col("fuzzy2"))), "legal_added": flag(text.bits_missing(F.col("fuzzy2"), F.col("fuzzy1"))),
-        "name_noise_added": flag(F.size(F.array_except(text.words(F.col("clean2")), text.words(F.col("clean1"))))),
+        "legal_equal": flag(~no1 & ~no2 & (F.col("legal1") == F.col("legal2"))), "legal_conflict": flag(~no1 & ~no2 & (F.col("legal1") != F.col("legal2"))), "legal_any_missing": flag(no1 | no2),
+        "legal_s1_only": flag(~no1 & no2), "legal_s23_only": flag(no1 & ~no2), "legal_form_s1": flag(F.col("bits1")), "legal_form_s23": flag(F.col("bits2")),
+        "legal_fuzzy_equal": flag(fuzzy_known & (F.col("fuzzy1") == F.col("fuzzy2"))),
+        "legal_dropped": F.when(fuzzy_known, flag(text.bits_missing(F.col("fuzzy1"), F.col("fuzzy2")))), "legal_added": F.when(fuzzy_known, flag(text.bits_missing(F.col("fuzzy2"), F.col("fuzzy1")))),
+        "name_noise_added": flag(F.size(F.array_except("noise2", "noise1"))),
         "addr_missing_s1": flag(miss1), "addr_missing_s23": flag(miss2), "addr_ratio": addr(F.col("_a.ratio")), "addr_token_set": addr(F.col("_a.token_set")), "addr_token_sort": addr(F.col("_a.token_sort")), "addr_partial": addr(F.col("_a.partial")),
         "addr_word_cosine": addr(F.col("addr_word_cosine")), "addr_char_cosine": addr(F.col("addr_char_cosine")), "addr_idf_jaccard": addr(F.col("addr_idf_jaccard")),
         "num_shared": addr(flag(shared)), "num_jaccard": addr(F.try_divide(flag(shared), flag(either))), "num_conflict": addr(flag((F.size(num1) > 0) & (F.size(num2) > 0) & (shared == 0))),

@@ -39,6 +39,13 @@ def learn_words(pairs: DataFrame, *, least: int = 20, share: float = 0.5, sound:
     return spell.unionByName(noisy)
 
 
+def word_lists(learned: DataFrame, most_noise: int = 63) -> tuple[dict[str, str], list[str]]:
+    """(word map, noise words) for name_key and the pair features, from learn_words: as many rows as the
+    names have frequent words reach the driver; of the noise words the first most_noise in order."""
+    rows = learned.collect()
+    return {r.word: r.target for r in rows if r.kind == "map"}, sorted(r.word for r in rows if r.kind == "noise")[:most_noise]
+
+
 def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     """n rows in the order of the key's hash: a sampling operator that reruns alike."""
     return rows.orderBy(F.crc32(F.col(key).cast("string").cast("binary")), key).limit(n)

@@ -30,7 +30,7 @@ def competition(pairs: DataFrame, score: str = "score", source: str = "source",
         "gap_to_best_for_s23": F.max(s).over(_by("s23")) - s,
         "n_s1_wanting_this": F.count("*").over(_by("s23")),
     })
-    return out.withColumn("n_same_name_candidates", F.count("*").over(_by(["s1", name]))) if name else out
+    return out.withColumn("n_same_name_candidates", F.count("*").over(_by(["s1", name])) - 1) if name else out
 
 
 def others_max(value: Column, group, tie: list[Column]) -> Column:

@@ -22,20 +22,19 @@ def rival_scores(pairs: DataFrame, s1: DataFrame, key: str, text: str, pair_text
     sizes = s1.groupBy(key).agg(F.count("*").alias("n_rivals"))
     small = s1.join(sizes.where(F.col("n_rivals") <= guard), key)
     copies = pairs.select(key, pair_text).distinct()
-    # each distinct copy meets each rival once
-    met = copies.join(small.select(key, F.col("s1").alias("rival"), F.col(text).alias("_text"), "n_rivals"), key)
-    met = met.withColumn("_score", score(F.col(pair_text), F.col("_text")))
-    rows = pairs.join(met.select(key, pair_text, "rival", "n_rivals", "_score"), [key, pair_text], "left")
-    own = F.max(F.when(F.col("rival") == F.col("s1"), F.col("_score")))
-    stats = rows.groupBy("s1", "s23").agg(F.max("n_rivals").alias("n_rivals"), own.alias("_in"), F.max("_score").alias("_best"), F.collect_list("_score").alias("_all"), F.max(F.when(F.col("rival") != F.col("s1"), F.col("_score"))).alias("_second"))
-    out = pairs.join(s1.select("s1", F.col(text).alias("_own_text"), F.col(key).alias("_own_key")), "s1").join(stats, ["s1", "s23"], "left")
+    # each distinct copy meets each rival once; its scores, at most `guard`, go back to the pairs as one sorted row
+    met = copies.join(small.select(key, F.col(text).alias("_text"), "n_rivals"), key).withColumn("_score", score(F.col(pair_text), F.col("_text")))
+    scores = met.groupBy(key, pair_text).agg(F.max("n_rivals").alias("n_rivals"), F.sort_array(F.collect_list("_score"), asc=False).alias("_all"))
+    out = pairs.join(s1.select("s1", F.col(text).alias("_own_text"), F.col(key).alias("_own_key")), "s1").join(scores, [key, pair_text], "left")
     out = out.withColumn("own", score(F.col(pair_text), F.col("_own_text")))
-    some = F.col("n_rivals").isNotNull()
-    count = lambda test: F.size(F.filter("_all", test))  # noqa: E731  at most `guard` scores
+    some, among = F.col("n_rivals").isNotNull(), F.col(key) == F.col("_own_key")  # among: the pair's own record is one of the rivals
+    best = F.get("_all", F.lit(0))
+    second = F.when(among & (F.col("own") == best), F.get("_all", F.lit(1))).otherwise(best)
+    count = lambda test: F.size(F.filter("_all", test))
     return out.select(
-        *pairs.columns, F.when(some, F.col("own")).alias("own"), (F.col(key) == F.col("_own_key")).cast("int").alias("key_eq"), F.col("n_rivals"),
-        F.when(some, F.col("own") - F.col("_best")).alias("gap_best"), F.when(some, count(lambda x: x > F.col("own"))).alias("n_better"),
-        F.when(some, count(lambda x: x == F.col("own")) - F.col("_in").isNotNull().cast("int")).alias("n_tie"), F.when(some, F.col("own") - F.col("_second")).alias("gap_second"),
+        *pairs.columns, F.when(some, F.col("own")).alias("own"), among.cast("int").alias("key_eq"), F.col("n_rivals"),
+        F.when(some, F.col("own") - best).alias("gap_best"), F.when(some, count(lambda x: x > F.col("own"))).alias("n_better"),
+        F.when(some, count(lambda x: x == F.col("own")) - F.coalesce(among, F.lit(False)).cast("int")).alias("n_tie"), F.when(some, F.col("own") - second).alias("gap_second"),
     )
 
 

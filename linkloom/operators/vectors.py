@@ -30,8 +30,9 @@ def char_ngrams(c: Column, n: int = 3) -> Column:
 
 
 def postings(rows: DataFrame, grams: Column, ids: Sequence[str]) -> DataFrame:
-    """(ids..., gram, tf)."""
-    return rows.select(*ids, F.explode(grams).alias("gram")).groupBy(*ids, "gram").agg(F.count("*").alias("tf"))
+    """(ids..., gram, tf). The texts are dealt by id, so their grams need no shuffle of their own, nor does
+    what is later computed for each id."""
+    return rows.repartition(*ids).select(*ids, F.explode(grams).alias("gram")).groupBy(*ids, "gram").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(post: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -42,10 +43,14 @@ def idf(df: Column, n: Column) -> Column:
     return F.log((1 + n) / (1 + df)) + 1
 
 
-def tfidf(post: DataFrame, n_docs: DataFrame, ids: Sequence[str], scope: Sequence[str] = (), frequencies: DataFrame | None = None) -> DataFrame:
-    """Adds df and w: (1 + ln tf) * idf, each document of length 1. n_docs: (scope..., n)."""
+def tfidf(post: DataFrame, n_docs: DataFrame, ids: Sequence[str], scope: Sequence[str] = (), frequencies: DataFrame | None = None, bounded: bool = False) -> DataFrame:
+    """Adds df and w: (1 + ln tf) * idf, each document of length 1. n_docs: (scope..., n).
+
+    bounded: grams come from a small alphabet (n-grams of cleaned text: 37**3 at most, in each scope), so
+    their frequencies are broadcast and postings stay where they are; otherwise they meet by a shuffle.
+    """
     df = frequencies if frequencies is not None else document_frequency(post, scope)
-    rows = post.join(df, [*scope, "gram"])
+    rows = post.join(F.broadcast(df) if bounded and not scope else df, [*scope, "gram"])
     rows = rows.join(F.broadcast(n_docs), list(scope)) if scope else rows.crossJoin(F.broadcast(n_docs))  # a row per scope
     rows = rows.withColumn("w", (1 + F.log("tf")) * idf(F.col("df"), F.col("n")))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*ids)))

@@ -165,7 +165,7 @@ SQL = {
     "combine_and_trim": f"WITH {HITS}, {COLLAPSED}, {_trim(2, 2)} SELECT *, CASE WHEN candidate_rank < 0 THEN max(best_score) FILTER (candidate_rank >= 0) OVER (PARTITION BY s1) - best_score END AS search_margin FROM cand",
     "candidates_only": f"WITH {HITS}, {COLLAPSED}, {_trim(4, 0)} SELECT *, NULL::DOUBLE AS search_margin FROM cand WHERE candidate_rank < 3",
     "chunked_work": "WITH w AS (SELECT floor(l_orderkey / 100)::BIGINT AS s1, count(*) AS work FROM lineitem GROUP BY 1) SELECT s1, work, floor((sum(work) OVER (ORDER BY s1) - work) / 1000)::BIGINT AS chunk FROM w",
-    "competition_features": f"""WITH {PAIRS} SELECT s1, s23, count(*) OVER a AS n_candidates_for_s1, round(max(p) OVER a - p, 6) AS gap_s1, row_number() OVER (PARTITION BY s1, source ORDER BY p DESC, s23) AS source_rank,
+    "competition_features": f"""WITH {PAIRS} SELECT s1, s23, count(*) OVER (PARTITION BY s1, s23 % 3) - 1 AS n_same_name_candidates, count(*) OVER a AS n_candidates_for_s1, round(max(p) OVER a - p, 6) AS gap_s1, row_number() OVER (PARTITION BY s1, source ORDER BY p DESC, s23) AS source_rank,
         row_number() OVER (PARTITION BY s23 ORDER BY p DESC, s1) AS reverse_rank, round(max(p) OVER b - p, 6) AS gap_s23, count(*) OVER b AS n_s1_wanting_this FROM pairs WINDOW a AS (PARTITION BY s1), b AS (PARTITION BY s23)""",
     "leave_one_out": f"""WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, s23) AS k FROM pairs)
         SELECT s1, s23, k AS p_rank, round(CASE WHEN k = 1 THEN max(p) FILTER (k = 2) OVER a ELSE max(p) OVER a END, 6) AS others_max, round(sum(p) OVER a - p, 6) AS others_sum, (count(*) FILTER (p > 0.5) OVER a) - (p > 0.5)::INT AS n_sure_others FROM r WINDOW a AS (PARTITION BY s1)""",
@@ -198,7 +198,7 @@ SQL = {
     "auc": "WITH r AS (SELECT toxic, n_chars FROM labels JOIN documents USING (doc_id)), k AS (SELECT toxic, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2 AS rk FROM r) SELECT round((sum(rk) FILTER (toxic = 1) - count(*) FILTER (toxic = 1) * (count(*) FILTER (toxic = 1) + 1) / 2) / (count(*) FILTER (toxic = 1)::DOUBLE * count(*) FILTER (toxic = 0)), 6) AS auc FROM k",
     "quantiles": "WITH p AS (SELECT l_orderkey, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1), q AS (SELECT [0.1, 0.25, 0.5, 0.75, 0.9]::DOUBLE[] AS s, quantile_cont(n, [0.1, 0.25, 0.5, 0.75, 0.9]) AS v FROM p) SELECT unnest(s) AS share, unnest(v) AS value FROM q",
     "score_correlations": " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS corr, round(avg({a}), 6) AS mean_a, round(stddev_samp({a}), 6) AS std_a FROM lineitem" for a in ("l_quantity", "l_discount", "l_tax") for b in ("l_quantity", "l_discount", "l_tax")),
-    "budget_limit": f"WITH {PAIRS}, u AS (SELECT *, abs(p - 0.5) AS off FROM pairs WHERE abs(p - 0.5) < 0.499), l AS (SELECT off FROM u ORDER BY off LIMIT 1 OFFSET 500) SELECT s1, s23, round(p, 6) AS p FROM u WHERE off < coalesce((SELECT off FROM l), 0.499)",
+    "budget_limit": f"WITH {PAIRS}, q AS (SELECT s1, s23, (s1 * 7919 + s23 * 104729) % 9973 / 9973.0::DOUBLE AS p FROM pairs), u AS (SELECT *, abs(p - 0.5) AS off FROM q WHERE abs(p - 0.5) < 0.499), l AS (SELECT off FROM u ORDER BY off LIMIT 1 OFFSET 500) SELECT s1, s23, round(p, 6) AS p FROM u WHERE off < coalesce((SELECT off FROM l), 0.499)",
     "blend_two": f"WITH {PAIRS}, a AS (SELECT * FROM pairs WHERE source = 2 OR p > 0.5), b AS (SELECT * FROM pairs WHERE source = 3 OR p > 0.5) SELECT s1, s23, round(0.6 * coalesce(a.p, 0) + 0.4 * coalesce(b.p, 0), 6) AS p FROM a FULL JOIN b USING (s1, s23)",
     "ensemble_mean": f"WITH {HITS}, {COLLAPSED} SELECT s1, s23, round((coalesce(score_A, 0) + coalesce(score_N, 0) + coalesce(score_R, 0)) / n_methods, 6) AS ce, n_methods AS n_runs FROM flat",
     "pseudo_labels": f"WITH {PAIRS}, {OWN} SELECT s1, s23, 1 AS label FROM own WHERE p >= 0.9 UNION ALL SELECT s1, s23, 0 FROM pairs WHERE p <= 0.1",
@@ -210,10 +210,10 @@ SQL = {
     "jaro_winkler": f"WITH {NAMES} SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS sim FROM np",
     "rival_scores": f"""WITH one AS (SELECT p_partkey AS s1, p_brand AS key, lower(p_name) AS name1 FROM part), sup AS (SELECT s_suppkey AS s23, lower(s_name) AS name, 'Brand#' || (s_nationkey % 5 + 1) || (s_nationkey % 5 + 1) AS key FROM supplier),
         pr AS (SELECT DISTINCT l_partkey AS s1, l_suppkey AS s23 FROM lineitem), p AS (SELECT pr.s1, pr.s23, name, sup.key, o.key AS own_key, round({LEV.format(a='name', b='o.name1')}, 6) AS own FROM pr JOIN sup USING (s23) JOIN one o ON o.s1 = pr.s1),
-        m AS (SELECT p.*, r.s1 AS rival, round({LEV.format(a='p.name', b='r.name1')}, 6) AS sc FROM p LEFT JOIN one r ON r.key = p.key)
+        m AS (SELECT p.*, r.s1 AS rival, round({LEV.format(a='p.name', b='r.name1')}, 6) AS sc FROM p LEFT JOIN (SELECT * FROM one WHERE key IN (SELECT key FROM one GROUP BY 1 HAVING count(*) <= 300)) r ON r.key = p.key)
         SELECT s1, s23, CASE WHEN count(rival) > 0 THEN any_value(own) END AS own, (any_value(key) = any_value(own_key))::INT AS key_eq, nullif(count(rival), 0) AS n_rivals, round(any_value(own) - max(sc), 6) AS gap_best, CASE WHEN count(rival) > 0 THEN count(*) FILTER (sc > own) END AS n_better,
         CASE WHEN count(rival) > 0 THEN count(*) FILTER (sc = own) - count(*) FILTER (rival = s1) END AS n_tie, round(any_value(own) - max(sc) FILTER (rival <> s1), 6) AS gap_second FROM m GROUP BY ALL""",
-    "sibling_expansion": f"""WITH {PAIRS}, {OWN}, {KEEP}, k AS (SELECT p_partkey AS s23, p_brand || '|' || p_size AS key FROM part), g AS (SELECT key, count(*) AS gsize FROM k GROUP BY 1 HAVING count(*) <= 30)
+    "sibling_expansion": f"""WITH {PAIRS}, {OWN}, {KEEP.replace("kept AS", "every AS")}, kept AS (SELECT * FROM every WHERE s23 % 3 = 0), k AS (SELECT p_partkey AS s23, p_brand || '|' || p_size AS key FROM part), g AS (SELECT key, count(*) AS gsize FROM k GROUP BY 1 HAVING count(*) <= 30)
         SELECT kept.s1, k2.s23, count(*) AS n_seeds, max(gsize) AS gsize FROM kept JOIN k USING (s23) JOIN g USING (key) JOIN k k2 ON k2.key = g.key WHERE k2.s23 NOT IN (SELECT s23 FROM kept) GROUP BY ALL""",
     "word_difference": f"""WITH {NAMES}, x AS (SELECT a, b, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM np), z AS (SELECT a, b, list_distinct(list_filter(y, lambda v: NOT list_contains(x, v))) AS added, list_distinct(list_filter(x, lambda v: NOT list_contains(y, v))) AS lost, len(list_distinct(list_filter(x, lambda v: list_contains(y, v)))) AS n_common FROM x)
         SELECT a, b, n_common, len(added) AS n_added, len(lost) AS n_lost, array_to_string(list_sort(added), ' ') AS added, array_to_string(list_sort(lost), ' ') AS lost FROM z""",
