@@ -6,17 +6,22 @@ whose whole hash is another's proper prefix hash, at the same length, is a snaps
 equal conversations the smallest conv_id stays. Those that stay are rendered.
 
 A conversation may hold a third of all turns: positions and prefix hashes come from blocks of
-turns, summed by block first, and a rendering is cut into segments of at most SEGMENT turns. The
-anti-join meets distinct prefixes only, so a first turn that many share is one row.
+turns, summed by block first, and a rendering comes in segments of at most ``segment`` turns (a
+parameter), one row each in order, so that no task holds a whole long conversation; those of up to
+that many turns are one row. The anti-join meets distinct prefixes only, so a first turn that many
+share is one row.
+
+Markers inside roles and texts are escaped: a backslash is put before the bar of ``<|``, and one more
+where backslashes stand there already, so no text can forge a turn and all can be read back.
 
 Rows: a null conv_id is a conversation of its own; null turns come first; null role and text
 are empty; rows that repeat a turn are turns of their own, ordered by role and text. An empty
-table gives an empty result.
+table gives an empty result; other columns are ignored, whatever their names. Texts are whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import materialise
@@ -57,12 +62,16 @@ def maximal(prefixes: DataFrame) -> DataFrame:
     return one.join(proper, ["pos", "one", "two"], "left_anti").select("conv_id")
 
 
-def render(conversations: DataFrame, **cols) -> DataFrame:
+def escaped(c: Column) -> Column:
+    return F.regexp_replace(c, r"<(\\*)\|", r"<\\$1|")
+
+
+def render(conversations: DataFrame, *, segment: int = SEGMENT, **cols) -> DataFrame:
     """Segments of the maximal conversations: conv_id, segment, n_turns, text."""
     rows = materialise(turns(conversations, **cols), "chat-turns")
     stay = maximal(rows).select(F.col("conv_id").alias("c"))
     rows = rows.join(stay, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
-    line = F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>\n"))
-    parts = rows.withColumn("segment", F.floor(F.col("pos") / SEGMENT)).groupBy("conv_id", "segment")
+    line = F.concat(F.lit("<|"), escaped(F.col("role")), F.lit("|>\n"), escaped(F.col("text")), F.lit("\n<|end|>\n"))
+    parts = rows.withColumn("segment", F.floor(F.col("pos") / segment)).groupBy("conv_id", "segment")
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "")
     return parts.agg(F.count("*").alias("n_turns"), said.alias("text"))

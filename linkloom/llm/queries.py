@@ -67,6 +67,28 @@ def queries() -> dict:
 
 #: In DuckDB's dialect.
 ORACLES = {
+    "op3_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS MATERIALIZED (
+            SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w
+        ), p AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        link AS MATERIALIZED (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+            GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+        ), reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+        SELECT doc_id, len(s) AS n_shingles, component_id, component_id = doc_id AS kept
+        FROM s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) ON a = doc_id
+    """,
+    "op6_embedding_near_dedup": """
+        WITH RECURSIVE v AS MATERIALIZED (
+            SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS n FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)
+            WHERE len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND list_dot_product(x, x) > 0
+        ), link AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.9),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+        SELECT vec_id, (SELECT count(*) FROM link WHERE link.a = vec_id) AS n_links, component_id, component_id = vec_id AS kept
+        FROM embeddings JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) ON a = vec_id
+    """,
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
@@ -75,7 +97,7 @@ ORACLES = {
     """,
     "op1_chat_format": """
         WITH t AS (
-            SELECT conv_id, turn, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS line,
+            SELECT conv_id, turn, '<|' || regexp_replace(role, '<(\\\\*)\\|', '<\\\\\\1|', 'g') || '|>' || chr(10) || regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g') || chr(10) || '<|end|>' || chr(10) AS line,
                    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos,
                    count(*) OVER (PARTITION BY conv_id) AS n
             FROM conversations
