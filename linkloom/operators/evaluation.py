@@ -78,13 +78,34 @@ def error_examples(scored: DataFrame, truth: DataFrame, answered: DataFrame, n:
 
 def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
     """Rank formula with average ranks for ties, from counts per distinct score (no global sort of rows)."""
+    from linkloom.operators.blocking import running_before
+
     per = rows.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)  # a row per distinct score
+    ranked = running_before(per, "n", "s", "_below").withColumn("rank", F.col("_below") + (F.col("n") + 1) / 2)
     got = ranked.agg(F.sum(F.col("rank") * F.col("pos")).alias("ranks"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     return got.select(F.try_divide(F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2, F.col("p").cast("double") * (F.col("n") - F.col("p"))).alias("auc"))
 
 
+def holdout(scored: DataFrame, candidates: DataFrame, truth: DataFrame, s1: DataFrame, p: str = "p") -> DataFrame:
+    """The holdout's report as (measure, value): AUC, recall of the search, macro F0.5 of the keep rule and of
+    the best threshold, by country and by number of true matches."""
+    from linkloom.operators import decisions
+
+    labelled = scored.join(truth.select("s1", "s23").distinct().withColumn("_t", F.lit(1)), ["s1", "s23"], "left").na.fill(0, ["_t"])
+    named = lambda rows, name, value: rows.select(name.cast("string").alias("measure"), value.cast("double").alias("value"))
+    kept = decisions.keep_rule(scored, p=p)
+    parts = [
+        named(auc(labelled, "_t", p), F.lit("auc"), F.col("auc")),
+        named(truth.select("s1", "s23").distinct().join(candidates.select("s1", "s23").withColumn("_c", F.lit(1)), ["s1", "s23"], "left").agg(F.avg(F.coalesce("_c", F.lit(0))).alias("r")), F.lit("pair_recall"), F.col("r")),
+        named(score_breakdown(kept, truth, s1), F.concat_ws(" ", F.lit("f05"), "country", "matches"), F.col("f05")),
+        named(decisions.threshold_grid(scored, truth, s1.select("s1"), p=p), F.concat(F.lit("f05 at "), F.col("t").cast("string")), F.col("macro_f05")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def quantiles(rows: DataFrame, value: str, shares: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     q = F.percentile(value, F.array(*[F.lit(s) for s in shares]))
     return rows.agg(q.alias("q")).select(F.explode(F.arrays_zip(F.array(*[F.lit(s) for s in shares]).alias("share"), F.col("q").alias("value"))).alias("x")).select("x.share", "x.value")

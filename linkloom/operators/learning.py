@@ -51,6 +51,40 @@ def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     return rows.orderBy(F.crc32(F.col(key).cast("string").cast("binary")), key).limit(n)
 
 
+def named_pairs(pairs: DataFrame, s1: DataFrame, s23: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pairs with columns of both sides, <column>_1 and <column>_23."""
+    one = s1.select("s1", *[F.col(c).alias(f"{c}_1") for c in columns])
+    two = s23.select("s23", *[F.col(c).alias(f"{c}_23") for c in columns])
+    return pairs.select("s1", "s23").join(one, "s1").join(two, "s23")
+
+
+def hard_pairs(candidates: DataFrame, truth: DataFrame, n: int, most_rank: int = 6) -> DataFrame:
+    """(s1, s23, label): training pairs for a text scorer from n records, the true candidates and the first wrong ones."""
+    own = hash_sample(candidates.select("s1").distinct(), "s1", n)
+    rows = candidates.join(own, "s1", "left_semi").join(truth.select("s1", "s23").distinct().withColumn("label", F.lit(1)), ["s1", "s23"], "left").na.fill(0, ["label"])
+    return rows.where((F.col("label") == 1) | F.col("candidate_rank").between(0, most_rank - 1)).select("s1", "s23", "label")
+
+
+def by_length(rows: DataFrame, text: str, parts: int | None = None) -> DataFrame:
+    """Rows in order of a text's length within their partition, so that a scorer's batches need little padding."""
+    rows = rows.repartition(parts) if parts else rows
+    return rows.sortWithinPartitions(F.length(text).desc())
+
+
+def used(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """The rows that a pair mentions."""
+    return rows.join(pairs.select(key).distinct(), key, "left_semi")
+
+
+def rescore(pairs: DataFrame, label: str = "label", p: str = "p", **kw) -> DataFrame:
+    """Scores anew from a pair's neighbours in its record's list, each half of the records by the other's model. pairs has fold."""
+    from linkloom.operators.ranking import list_context
+
+    rows = list_context(pairs, p).withColumnRenamed(p, "before")
+    names = ["before", "list_rank", "prev_p", "next_p", "mass_above", "mass_below", "list_size", "gap_prev", "gap_next"]
+    return cross_fit(rows, names, label, **kw).select("s1", "s23", label, "before", "p")
+
+
 def dense_sample(s1: DataFrame, s23: DataFrame, truth: DataFrame, pattern: str, address: str = "business_address") -> tuple[DataFrame, DataFrame]:
     """All records of some cities: an address pattern on both sides, and the partners of what it takes."""
     own = s1.where(F.lower(address).rlike(pattern))

@@ -29,6 +29,11 @@ def char_ngrams(c: Column, n: int = 3) -> Column:
     return F.flatten(F.transform(words(c), of))
 
 
+def hashed(grams: Column, bits: int = 22) -> Column:
+    """Grams as numbers of a fixed vocabulary of 2**bits; colliding grams count as one."""
+    return F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(1 << bits)))
+
+
 def postings(rows: DataFrame, grams: Column, ids: Sequence[str]) -> DataFrame:
     """(ids..., gram, tf). The texts are dealt by id, so their grams need no shuffle of their own, nor does
     what is later computed for each id."""
