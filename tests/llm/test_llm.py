@@ -375,7 +375,7 @@ def test_toxicity(spark, docs, empty):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(queries.oracle_sql()[name])
     df = queries.queries()[name](spark, SF)
