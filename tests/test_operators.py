@@ -118,3 +118,28 @@ def test_honest_grid_against_plain_search(spark):
         best = max(rules, key=lambda r: (round(mean(*r), 9), -r[0], r[1] is None, -(r[1] or 0)))
         assert (got[fold].t, got[fold].t1) == best and abs(got[fold].picked - mean(*best)) < 1e-6
         assert abs(got[fold].honest - mean(*best, fold=1 - fold)) < 1e-6
+
+
+def test_pair_features_by_hand(spark):
+    """Legal forms, noise words, acronyms and equal names as the reference defines them."""
+    from linkloom.functions import rules
+    from linkloom.operators import features
+
+    cols = "name_core string, name_clean string, legal_form string, addr_clean string"
+    one = spark.createDataFrame([(1, "holistic sons", "holistic sons ltd pvt", "ltd pvt", "12 main street"), (2, "", "", "", "")], f"s1 long, {cols}")
+    two = spark.createDataFrame(
+        [(10, "hs com", "hs com ltd", "ltd", "12 main street"), (11, "holistic sons center", "holistic sons center", "", ""), (12, "", "", "", ""), (13, "hs com", "hs com ltd", "ltd", "14 main street")],
+        f"s23 long, {cols}",
+    )
+    pairs = [(1, 10, 0), (1, 11, 1), (2, 12, 0), (1, 13, 2)]
+    cand = spark.createDataFrame([(a, b, 2, r, r, 0.5, 1, 0.5, None, None) for a, b, r in pairs], "s1 long, s23 long, source int, candidate_rank int, best_rank int, best_score double, n_methods int, score_name_addr_fwd double, score_name_addr_rev double, search_margin double")
+    got = {(r.s1, r.s23): r for r in features.pair_features(cand, one, two, noise=["center"]).collect()}
+    a, b, c = got[1, 10], got[1, 11], got[2, 12]
+    assert (a.legal_equal, a.legal_conflict, a.legal_dropped, a.legal_added, a.legal_fuzzy_equal) == (0, 1, 1, 0, 0)
+    assert (b.legal_equal, b.legal_any_missing, b.legal_s1_only, b.legal_dropped, b.legal_added) == (0, 1, 1, None, None)
+    assert (c.legal_equal, c.legal_fuzzy_equal, c.legal_form_s1, c.name_first_word_equal, c.name_last_word_equal, c.name_word_count_diff) == (0, 0, 0, 1, 1, 0)
+    bits = {f: 1 << i for i, f in enumerate(sorted(set(rules.LEGAL_WORDS.values())))}
+    assert a.legal_form_s1 == bits["ltd"] + bits["pvt"] and a.legal_form_s23 == bits["ltd"]
+    assert (a.key_acronym, b.key_acronym) == (1, 0) and (a.name_noise_added, b.name_noise_added) == (0, 1)
+    assert (a.n_same_name_candidates, b.n_same_name_candidates, got[1, 13].n_same_name_candidates) == (1, 0, 1)
+    assert a.first_number_equal == 1 and got[1, 13].num_conflict == 1 and b.addr_ratio is None

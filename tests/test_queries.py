@@ -37,10 +37,30 @@ def test_query_equals_sql(spark, con, name):
     assert sorted(tuple(map(said, r)) for r in df.select(*cols).collect()) == sorted(tuple(said(r[i]) for i in at) for r in want.fetchall())
 
 
-def test_indel_family_against_plain_definition(spark):
-    from linkloom.functions.similarity import ratio
+def plain_ratio(a, b):
+    """From the textbook table of common subsequences."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+    return 200.0 * row[-1] / (len(a) + len(b)) if a or b else 100.0
+
 
-    assert all(abs(r.ratio - round(ratio(r.a, r.b), 6)) < 1e-9 for r in queries.indel_family(spark, SF).collect())
+def test_indel_family_against_plain_definition(spark):
+    for r in queries.indel_family(spark, SF).collect():
+        ordered = [" ".join(sorted(t.split())) for t in (r.a, r.b)]
+        short, long_ = sorted((r.a, r.b), key=len)
+        windows = [long_[max(0, e - len(short)) : e] for e in range(1, len(long_) + len(short))]
+        assert abs(r.ratio - round(plain_ratio(r.a, r.b), 6)) < 1e-6 and abs(r.token_sort - round(plain_ratio(*ordered), 6)) < 1e-6
+        if (len(r.a) * len(r.b)) % 7 == 0:
+            assert abs(r.partial - round(max(plain_ratio(short, w) for w in windows), 6)) < 1e-6
+
+
+def test_queries_with_limits_give_rows(spark):
+    for name in ("budget_limit", "sibling_expansion"):
+        assert getattr(queries, name)(spark, SF).count() > 0
+    assert queries.rival_scores(spark, SF).where("n_rivals IS NOT NULL AND n_tie IS NOT NULL").count() > 0
 
 
 def test_models_separate(spark):
