@@ -111,15 +111,17 @@ def centroid_support(candidates: DataFrame, weights: DataFrame, a: str = "s1", b
     return rows.withColumn("support", F.when((F.col("others") > 1e-3) & F.col("dot").isNotNull(), (F.col("dot") - F.col(p) * F.col("own")) / F.col("others"))).drop("dot", "own")
 
 
-def nearest(rows: DataFrame, k: int, key: str, vector: str, *, block: int = BLOCK) -> DataFrame:
+def nearest(rows: DataFrame, k: int, key: str, vector: str, *, every: int = 1, block: int = BLOCK) -> DataFrame:
     """(key, near, score, rank): the k other rows of the largest cosine, exactly; equal scores in the order of their keys.
 
+    every: only rows whose key it divides ask; all rows answer.
+
     The rows are dealt into blocks; a task multiplies two blocks and emits k rows a query at most.
     """
     rows = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("x")).where(F.col("id").isNotNull() & (F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v) > 0))
     n = max(1, -(-rows.count() // block))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    ask = rows.select("id", "x", F.lit(True).alias("asks"), F.col("own").alias("q"), F.col("other").alias("d"))
+    ask = rows.where(F.col("id") % every == 0).select("id", "x", F.lit(True).alias("asks"), F.col("own").alias("q"), F.col("other").alias("d"))
     have = rows.select("id", "x", F.lit(False).alias("asks"), F.col("other").alias("q"), F.col("own").alias("d"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -156,7 +156,7 @@ SQL = {
         flat AS (SELECT s1, s23, min(rank) AS best_rank, max(score) AS best_score, count(DISTINCT method) AS n_methods, max(score) FILTER (method = 'f') AS score_name_addr_fwd, max(score) FILTER (method = 'r') AS score_name_addr_rev FROM hits GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY best_rank, best_score DESC, s23) - 1 AS k FROM flat QUALIFY k < 20)
         SELECT * EXCLUDE (k), CASE WHEN k < 15 THEN k ELSE -1 END AS candidate_rank, CASE WHEN k >= 15 THEN max(best_score) FILTER (k < 15) OVER (PARTITION BY s1) - best_score END AS search_margin FROM r""",
-    "embedding_topk": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0), s AS (SELECT a.vec_id, b.vec_id AS near, round(list_cosine_similarity(a.x, b.x), 6) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id)
+    "embedding_topk": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0), s AS (SELECT a.vec_id, b.vec_id AS near, round(list_cosine_similarity(a.x, b.x), 6) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0)
         SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, near) - 1 AS rank FROM s QUALIFY rank < 3""",
     "pair_cosine": f"{VEC}, {FWD} SELECT f.s1, f.s23, round(coalesce(sum(a.w * b.w), 0), 6) AS dot FROM fwd f JOIN weights a ON a.side = 'q' AND a.id = f.s1 JOIN weights b ON b.side = 'd' AND b.id = f.s23 AND b.gram = a.gram GROUP BY ALL",
     "sibling_support": f"""{VEC}, {FWD}, t AS (SELECT f.s1, f.s23, f.score AS p, gram, w FROM fwd f JOIN weights d ON d.side = 'd' AND d.id = f.s23), c AS (SELECT s1, gram, sum(p * w) AS total FROM t GROUP BY ALL),
