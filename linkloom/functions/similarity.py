@@ -6,18 +6,33 @@ ratio and its relatives are on 0..100, the others on 0..1. Two empty texts are e
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+COMB_FROM = 24  # letters of the shorter text from which all windows are scored in one combing
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
 def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, bit-parallel over a."""
-    if not a or not b:
+    """Length of the longest common subsequence, bit-parallel over the longer text."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
         return 0
     masks: dict[str, int] = {}
-    for i, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | 1 << i
+    if len(a) < 256:
+        for i, c in enumerate(a):
+            masks[c] = masks.get(c, 0) | 1 << i
+    else:
+        codes = _codes(a)
+        for c in set(b):
+            masks[c] = int.from_bytes(np.packbits(codes == ord(c), bitorder="little").tobytes(), "little")
     full = (1 << len(a)) - 1
     row = full
     for c in b:
@@ -32,12 +47,21 @@ def ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The shorter text against every window of the longer one, shorter windows at both ends included."""
+    """The shorter text against every window of the longer one, shorter windows at both ends included.
+
+    Texts of one length are taken both ways round.
+    """
     s, t = (a, b) if len(a) <= len(b) else (b, a)
     if not s:
         return 100.0 if not t else 0.0
     if s in t:
         return 100.0
+    windows = _windows if len(s) < COMB_FROM else _combed_windows
+    return max(windows(s, t), windows(t, s)) if len(s) == len(t) else windows(s, t)
+
+
+def _windows(s: str, t: str) -> float:
+    """Window by window: for short texts, whose cost is the square of the short one by the long one."""
     m, best = len(s), 0.0
     letters = set(s)
     for end in range(1, len(t) + m):
@@ -48,6 +72,44 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
+def _combed_windows(s: str, t: str) -> float:
+    """All windows from one pass over the table of s by t, by semi-local comparison (seaweed combing).
+
+    A strand that starts above column c and leaves below column e takes one from the common subsequence
+    of every window with first column <= c and last column >= e. Cells of an antidiagonal are independent
+    and their strands lie side by side, so each antidiagonal is a few array operations.
+    """
+    m, n = len(s), len(t)
+    x, y = _codes(s)[::-1].copy(), _codes(t)
+    across, down = np.arange(m, dtype=np.int32), np.arange(m, m + n, dtype=np.int32)
+    for d in range(m + n - 1):
+        lo, hi = max(0, d - m + 1), min(n, d + 1)
+        at = m - 1 - d
+        h, v = across[at + lo : at + hi], down[lo:hi]
+        out = np.minimum(h, v)
+        np.copyto(out, v, where=x[at + lo : at + hi] == y[lo:hi])
+        v += h
+        v -= out
+        h[:] = out
+    first = down.astype(np.int64) - m
+    last = np.flatnonzero(first >= 0)
+    first = first[last]
+    ends, starts = np.bincount(last, minlength=n).cumsum(), np.bincount(first, minlength=n)[::-1].cumsum()[::-1]
+    size = np.arange(1, n + 1)
+    best = 0.0
+    short = size[: min(m - 1, n)]
+    if len(short):
+        heads, tails = short - ends[short - 1], short - starts[n - short]
+        best = float((np.maximum(heads, tails) / (m + short)).max())
+    if n >= m:
+        # the windows of m columns that hold a whole strand: first columns last-m+1 .. first
+        fits = last - first < m
+        change = np.bincount(np.maximum(last[fits] - m + 1, 0), minlength=n + 1) - np.bincount(first[fits] + 1, minlength=n + 1)
+        inside = m - change.cumsum()[: n - m + 1]
+        best = max(best, float(inside.max()) / (2 * m))
+    return 200.0 * best
+
+
 def token_sort_ratio(a: str, b: str) -> float:
     return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 
@@ -73,13 +135,18 @@ def jaro_winkler(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
     reach = max(0, max(len(a), len(b)) // 2 - 1)
+    places: dict[str, list[int]] = {}
+    for j in range(len(b) - 1, -1, -1):
+        places.setdefault(b[j], []).append(j)
     used, hits = [False] * len(b), []
     for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
-                hits.append(c)
-                break
+        # places below i - reach are out of reach for all later letters too
+        left = places.get(c)
+        while left and left[-1] < i - reach:
+            left.pop()
+        if left and left[-1] <= i + reach:
+            used[left.pop()] = True
+            hits.append(c)
     if not hits:
         return 0.0
     other = [c for c, u in zip(b, used) if u]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linkloom.functions.similarity import best_match, levenshtein_similarity, similarities
 from linkloom.functions import rules, text
 from linkloom.operators import ranking, vectors
+from linkloom.sources.steps import written
 
 
 def one_row(df: DataFrame) -> DataFrame:
@@ -61,14 +62,14 @@ def _overlap(pairs: DataFrame, one: DataFrame, two: DataFrame, column: str, pref
     out = pairs
     for kind, grams in (("word", text.words(F.col("t"))), ("char", vectors.char_ngrams(F.col("t")))):
         post = vectors.postings(both, F.array_distinct(grams) if kind == "word" else grams, ["id"])
-        weights = vectors.tfidf(post, n, ["id"])
+        weights = written(vectors.tfidf(post, n, ["id"]), f"{prefix}-{kind}")
         side = lambda letter, name: weights.where(F.col("id").startswith(letter)).select(F.substring("id", 2, 30).cast("long").alias(name), "gram", "w")
         dots = vectors.pair_dot(pairs, side("a", "s1"), side("b", "s23")).withColumnRenamed("dot", f"{prefix}_{kind}_cosine")
-        out = out.join(dots, ["s1", "s23"])
+        out = out.join(written(dots, f"{prefix}-{kind}-cosine"), ["s1", "s23"])
         if kind == "word":
             own = vectors.shared_idf(pairs, side("a", "s1").drop("w"), side("b", "s23").drop("w"), vectors.word_idf(post, n)).withColumnRenamed("idf_jaccard", f"{prefix}_idf_jaccard")
             own = own.withColumnsRenamed({"shared": f"_{prefix}_shared", "sum_a": f"_{prefix}_a", "sum_b": f"_{prefix}_b"})
-            out = out.join(own, ["s1", "s23"])
+            out = out.join(written(own, f"{prefix}-idf"), ["s1", "s23"])
     return out
 
 
@@ -78,19 +79,22 @@ def pair_features(candidates: DataFrame, s1: DataFrame, s23: DataFrame, word_map
     Competition is counted over all candidates; rescue rows keep rank -1. word_map and noise are the
     learned words (learning.word_lists); without them name_noise_added is 0.
     """
-    # each is read many times below; kept, they are leaves of the plan
-    one, two, candidates = records(s1, "s1", word_map, noise).persist(), records(s23, "s23", word_map, noise).persist(), candidates.persist()
+    # each is read many times below; as tables they are leaves of short plans
+    one, two, candidates = written(records(s1, "s1", word_map, noise), "s1"), written(records(s23, "s23", word_map, noise), "s23"), written(candidates, "candidates")
     base = candidates.select("s1", "s23")
     vocabulary = one.select(F.explode(text.words(F.col("core"))).alias("word"))
-    fuzzy1 = fuzzy_legal_bits(one, "clean", "s1").withColumnRenamed("fuzzy", "fuzzy1")
-    fuzzy2 = fuzzy_legal_bits(two, "clean", "s23").withColumnRenamed("fuzzy", "fuzzy2")
-    unseen = unseen_share(two, "s23", "core", vocabulary).withColumnRenamed("unseen", "s23_unseen_words")
+    fuzzy1 = written(fuzzy_legal_bits(one, "clean", "s1").withColumnRenamed("fuzzy", "fuzzy1"), "fuzzy1")
+    fuzzy2 = written(fuzzy_legal_bits(two, "clean", "s23").withColumnRenamed("fuzzy", "fuzzy2"), "fuzzy2")
+    unseen = written(unseen_share(two, "s23", "core", vocabulary).withColumnRenamed("unseen", "s23_unseen_words"), "unseen")
     rows = ranking.competition(candidates.join(two.select("s23", F.col("core").alias("_core")), "s23"), "best_score", "source", "_core").drop("_core")
     for column, prefix in (("core", "name"), ("key", "key"), ("addr", "addr")):
-        rows = rows.join(_overlap(base, one, two, column, prefix).persist(), ["s1", "s23"])
+        rows = rows.join(_overlap(base, one, two, column, prefix), ["s1", "s23"])
+    rows = written(rows, "overlap")
     a = one.select("s1", *[F.col(c).alias(f"{c}1") for c in one.columns if c != "s1"])
     b = two.select("s23", *[F.col(c).alias(f"{c}2") for c in two.columns if c != "s23"])
     rows = rows.join(a, "s1").join(b, "s23").join(fuzzy1, "s1").join(fuzzy2, "s23").join(unseen, "s23")
+    # the kernels' time is far beyond what the rows' bytes tell, so pairs are dealt to all tasks by number
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s1", "s23")
     pair = lambda c: (F.col(f"{c}1"), F.col(f"{c}2"))
     rows = rows.withColumns({
         "_n": similarities(*pair("core"), "ratio", "token_set", "token_sort", "partial", "jaro_winkler"), "_c": similarities(*pair("clean"), "ratio"),

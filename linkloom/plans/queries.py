@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import similarity, text
 from linkloom.functions.translit import fold_latin, latin_udf
 from linkloom.operators import blocking, decisions, evaluation, features, learning, ranking, rivals, vectors
-from linkloom.sources import tsv
+from linkloom.sources import steps, tsv
 
 METHODS = ["A", "N", "R"]
 
@@ -481,13 +481,14 @@ def gbdt_scores(spark, d):
 def _proposed(spark, d):
     """(candidates, passages, documents): what the search proposes to the benchmark's passages among all documents."""
     def table(rows, row):
-        return rows.withColumn("parts", text.name_struct(F.col("t"))).select(row, "parts.*", text.clean_address(F.col("t")).alias("addr_clean"))
+        named = rows.withColumn("parts", text.name_struct(F.col("t"))).select(row, "parts.*", text.clean_address(F.col("t")).alias("addr_clean"))
+        return steps.written(named, row)
 
     one = table(_passages(spark, d), "s1")
     two = table(_clean(spark, d).withColumnRenamed("doc_id", "s23"), "s23")
     names = lambda rows, row: rows.select(row, F.col("name_core").alias("t"))
     both = names(one, "s1").select(F.lit("q").alias("side"), F.col("s1").alias("id"), "t").unionByName(names(two, "s23").select(F.lit("d").alias("side"), F.col("s23").alias("id"), "t"))
-    w = vectors.tfidf(vectors.postings(both, vectors.char_ngrams(F.col("t")), ["side", "id"]), features.one_row(both), ["side", "id"])
+    w = steps.written(vectors.tfidf(vectors.postings(both, vectors.char_ngrams(F.col("t")), ["side", "id"]), features.one_row(both), ["side", "id"]), "weights")
     a = w.where("side = 'q'").select(F.col("id").alias("s1"), "gram", "w", "df")
     b = w.where("side = 'd'").select(F.col("id").alias("s23"), (F.col("id") % 2 + 2).cast("int").alias("source"), "gram", "w", "df")
     cand = blocking.combine_and_trim(blocking.retrieve(a, b, n_docs=features.one_row(both)), ["name_addr_fwd", "name_addr_rev"])

@@ -51,10 +51,10 @@ def test_indel_family_against_plain_definition(spark):
     for r in queries.indel_family(spark, SF).collect():
         ordered = [" ".join(sorted(t.split())) for t in (r.a, r.b)]
         short, long_ = sorted((r.a, r.b), key=len)
-        windows = [long_[max(0, e - len(short)) : e] for e in range(1, len(long_) + len(short))]
+        ways = [(short, long_), (long_, short)] if len(short) == len(long_) else [(short, long_)]
         assert abs(r.ratio - round(plain_ratio(r.a, r.b), 6)) < 1e-6 and abs(r.token_sort - round(plain_ratio(*ordered), 6)) < 1e-6
         if (len(r.a) * len(r.b)) % 7 == 0:
-            assert abs(r.partial - round(max(plain_ratio(short, w) for w in windows), 6)) < 1e-6
+            assert abs(r.partial - round(max(plain_ratio(s, t[max(0, e - len(s)) : e]) for s, t in ways for e in range(1, len(t) + len(s))), 6)) < 1e-6
 
 
 def test_queries_with_limits_give_rows(spark):
@@ -68,9 +68,12 @@ def test_models_separate(spark):
     assert len(got) and got["p"].between(0, 1).all()
 
 
-def test_pair_features_has_69_columns(spark):
+def test_pair_features_of_every_candidate(spark):
     df = queries.pair_features(spark, SF)
-    assert len([c for c in df.columns if c not in ("s1", "s23")]) >= 69 - 2
+    got = df.toPandas()
+    assert len(got.columns) - 2 >= 69 - 2 and len(got) > 0 and not got.duplicated(["s1", "s23"]).any()
+    assert got[["name_partial", "name_ratio", "name_token_set"]].apply(lambda c: c.between(0, 100).all()).all()
+    assert got["name_jaro_winkler"].between(0, 1).all() and (got["name_partial"] >= got["name_ratio"] - 1e-9).mean() > 0.99
 
 
 def test_pair_features_are_of_documents(spark):

@@ -66,3 +66,54 @@ def test_token_and_partial_kernels():
     assert S.token_sort_ratio("b a", "a b") == 100 and S.token_set_ratio("a b", "a b c") == 100 and S.token_set_ratio("", "a") == 0
     assert S.partial_ratio("abc", "xxabcxx") == 100 and S.partial_ratio("", "") == 100 and S.partial_ratio("abd", "xabcx") == pytest.approx(100 * 4 / 6)
     assert S.jaro_winkler("martha", "marhta") == pytest.approx(0.961111, abs=1e-6) and S.jaro_winkler("", "") == 1
+
+
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+    return row[-1]
+
+
+def plain_partial(a, b):
+    ways = [(a, b), (b, a)] if len(a) == len(b) else [sorted((a, b), key=len)]
+    return max(200 * plain_lcs(s, w) / (len(s) + len(w)) for s, t in ways for e in range(1, len(t) + len(s)) for w in [t[max(0, e - len(s)) : e]])
+
+
+def plain_jaro_winkler(a, b):
+    reach, used, hits = max(0, max(len(a), len(b)) // 2 - 1), set(), []
+    for i, c in enumerate(a):
+        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if j not in used and b[j] == c), None)
+        if j is not None:
+            used.add(j)
+            hits.append(c)
+    if not hits:
+        return 0.0
+    m, swaps = len(hits), sum(x != b[j] for x, j in zip(hits, sorted(used))) // 2
+    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+    same = next((i for i in range(4) if a[i : i + 1] != b[i : i + 1] or not a[i : i + 1]), 4)
+    return jaro + 0.1 * same * (1 - jaro) if jaro > 0.7 else jaro
+
+
+def test_kernels_against_plain_definitions_on_longer_texts():
+    import random
+
+    pick = random.Random(5)
+    for letters in ("ab", "abc de", "abcdefgh\u00e9\U0001f600 "):
+        for sizes in ((30, 80), (60, 60), (25, 26), (5, 40), (24, 24), (1, 300)):
+            a, b = ("".join(pick.choice(letters) for _ in range(n)) for n in sizes)
+            assert S.lcs(a, b) == S.lcs(b, a) == plain_lcs(a, b)
+            assert S.partial_ratio(a, b) == pytest.approx(plain_partial(a, b)) and S.partial_ratio(b, a) == S.partial_ratio(a, b)
+            assert S.jaro_winkler(a, b) == pytest.approx(plain_jaro_winkler(a, b))
+    assert S.partial_ratio("abab", "xabx") == S.partial_ratio("xabx", "abab") == pytest.approx(200 / 3)  # either text may give the window
+
+
+def test_both_ways_to_score_windows_agree():
+    import random
+
+    pick = random.Random(6)
+    for _ in range(200):
+        a, b = sorted(("".join(pick.choice("abcd ") for _ in range(pick.randint(1, 40))) for _ in range(2)), key=len)
+        assert S._windows(a, b) == pytest.approx(S._combed_windows(a, b))
