@@ -125,10 +125,10 @@ LOGIT = "ln(greatest(least({x}, 1 - 1e-6::DOUBLE), 1e-6::DOUBLE) / (1 - greatest
 SWAPS = """n AS (SELECT p_brand || '|' || p_type AS k, p_partkey, lower(p_name) AS n FROM part), f AS (SELECT k, min(p_partkey) AS m, arg_min(n, p_partkey) AS name1 FROM n GROUP BY 1),
     pr AS (SELECT list_distinct(string_split(name1, ' ')) AS x, list_distinct(string_split(n.n, ' ')) AS y FROM n JOIN f USING (k) WHERE p_partkey <> m),
     df2 AS (SELECT list_filter(x, lambda v: NOT list_contains(y, v)) AS missing, list_filter(y, lambda v: NOT list_contains(x, v)) AS extra FROM pr)"""
-RIVAL = rf"""u AS (SELECT page_id, trim(regexp_replace(regexp_replace({_fold("coalesce(url, '')")}, '[^\x00-\x7f]', '', 'g'), '\s+', ' ', 'g')) AS plain FROM pages),
-    r1 AS (SELECT page_id, plain, regexp_replace(plain, 'www\.\S+|https?://\S+|\S+@\S+|\S+\.com\b', ' ', 'g') AS t FROM u),
-    r2 AS (SELECT page_id, plain, string_split(regexp_replace(regexp_replace(t, '\(id:?\s*\d+\)|\d{{6,}}', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' ') AS w FROM r1),
-    r3 AS (SELECT page_id, plain, list_filter(w, lambda x, i: x <> '' AND (i = 1 OR x <> w[i - 1])) AS w FROM r2)"""
+RIVAL = rf"""u AS (SELECT doc_id, trim(regexp_replace(regexp_replace({_fold("coalesce(text, '')")}, '[^\x00-\x7f]', '', 'g'), '\s+', ' ', 'g')) AS plain FROM documents),
+    r1 AS (SELECT doc_id, plain, regexp_replace(plain, 'www\.\S+|https?://\S+|\S+@\S+|\S+\.com\b', ' ', 'g') AS t FROM u),
+    r2 AS (SELECT doc_id, plain, string_split(regexp_replace(regexp_replace(t, '\(id:?\s*\d+\)|\d{{6,}}', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' ') AS w FROM r1),
+    r3 AS (SELECT doc_id, plain, list_transform(list_filter(list_zip(w, list_prepend('', w)), lambda p: p[1] <> '' AND p[1] <> p[2]), lambda p: p[1]) AS w FROM r2)"""
 FIELDS = f"""f AS (SELECT p_partkey, 'name' AS field, lower(p_name) AS t FROM part UNION ALL SELECT p_partkey, 'address', lower(p_type) FROM part),
     fg AS (SELECT DISTINCT p_partkey, field, unnest(flatten(list_transform({_words('t')}, lambda x: {GRAMS}))) AS gram FROM f),
     post AS (SELECT p_partkey, gram, count(*) AS tf FROM (SELECT p_partkey, unnest(flatten(list_transform({_words('t')}, lambda x: {GRAMS}))) AS gram FROM f) GROUP BY ALL),
@@ -145,7 +145,7 @@ LEARNED = f"""{SWAPS}, sw AS (SELECT extra, missing, count(*) AS n FROM (SELECT
     spell AS (SELECT word, missing FROM best JOIN ex USING (word) WHERE n >= 2 AND n >= 0.1::DOUBLE * n_extra)"""
 
 SQL = {
-    "rival_keys": f"WITH {RIVAL} SELECT page_id, plain, array_to_string(list_filter(w, lambda x: NOT list_contains({rules.RIVAL_STOP_WORDS}, x)), ' ') AS key FROM r3",
+    "rival_keys": f"WITH {RIVAL} SELECT doc_id, plain, array_to_string(list_filter(w, lambda x: NOT list_contains({rules.RIVAL_STOP_WORDS}, x)), ' ') AS key FROM r3",
     "field_quota": f"WITH {FIELDS} SELECT p.p_partkey, p.field, p.gram FROM placed p LEFT JOIN other o ON o.p_partkey = p.p_partkey AND o.field <> p.field WHERE p.place <= greatest(p.quota, 14 - coalesce(o.took, 0))",
     "learned_words": f"WITH {LEARNED} SELECT word, 'map' AS kind, missing AS target FROM spell UNION ALL SELECT word, 'noise', '' FROM ex JOIN seen USING (word) WHERE n_extra >= 2 AND n_extra >= 0.6::DOUBLE * n_copy AND word NOT IN (SELECT word FROM spell)",
     "clean_tokens": f"WITH {CLEAN} SELECT doc_id, t FROM clean",

@@ -105,8 +105,8 @@ def legal_bit_sets(spark, d):
 
 
 def rival_keys(spark, d):
-    t = text.plain(F.col("url"))
-    return load(spark, d, "pages").select("page_id", t.alias("plain"), text.rival_key(t).alias("key"))
+    rows = _docs(spark, d).select("doc_id", text.plain(F.col("text")).alias("plain"))
+    return rows.withColumn("key", text.rival_key(F.col("plain")))
 
 
 def ascii_fold(spark, d):
