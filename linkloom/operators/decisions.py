@@ -99,11 +99,15 @@ def honest_grid(pairs: DataFrame, truth: DataFrame, s1: DataFrame, ts: Sequence[
     kept = rows.select("s1", F.coalesce("_true", F.lit(0)).alias("_true"), F.explode(F.filter(grid, lambda g: (F.col(p) >= g["t"]) | (F.col("_first") & (F.col(p) >= g["t1"])))).alias("g"))
     counts = kept.groupBy("s1", "g.t", "g.t1").agg(F.count("*").alias("n_pred"), F.sum("_true").alias("n_hit"))
     wanted = truth.select("s1", "s23").distinct().groupBy("s1").agg(F.count("*").alias("n_true"))
-    every = s1.select("s1").join(wanted, "s1", "left").select("s1", F.coalesce("n_true", F.lit(0)).alias("n_true"), F.explode(grid).alias("g")).select("s1", "n_true", "g.t", "g.t1")
     fold = F.pmod(F.floor(F.pmod(F.col("s1") * 2654435761, F.lit(1 << 32)) / 65536), F.lit(2)).alias("fold")
+    records = s1.select("s1", fold).join(wanted, "s1", "left").na.fill(0, ["n_true"])
+    # a record for which a rule keeps nothing scores the same under all rules, so only kept rows meet the grid
+    nothing = F.when(F.col("n_true") == 0, 1.0).otherwise(0.0)
+    gains = counts.join(records, "s1").groupBy("fold", "t", "t1").agg(F.sum(f05(F.col("n_pred"), F.col("n_true"), F.col("n_hit")) - nothing).alias("gain"))
+    every = records.groupBy("fold").agg(F.count("*").alias("n"), F.sum(nothing).alias("zero")).select("fold", "n", "zero", F.explode(grid).alias("g")).select("fold", "n", "zero", "g.t", "g.t1")
     same = F.col("a.t1").eqNullSafe(F.col("b.t1"))
-    scored = every.alias("a").join(counts.alias("b"), (F.col("a.s1") == F.col("b.s1")) & (F.col("a.t") == F.col("b.t")) & same, "left").select("a.*", "n_pred", "n_hit").na.fill(0, ["n_pred", "n_hit"])
-    means = scored.groupBy(fold, "t", "t1").agg(F.round(F.avg(f05(F.col("n_pred"), F.col("n_true"), F.col("n_hit"))), 9).alias("f"))
+    scored = every.alias("a").join(gains.alias("b"), (F.col("a.fold") == F.col("b.fold")) & (F.col("a.t") == F.col("b.t")) & same, "left").select("a.*", F.coalesce("gain", F.lit(0.0)).alias("gain"))
+    means = scored.select("fold", "t", "t1", F.round((F.col("zero") + F.col("gain")) / F.col("n"), 9).alias("f"))
     best = means.withColumn("_n", F.row_number().over(Window.partitionBy("fold").orderBy(F.col("f").desc(), "t", "t1"))).where("_n = 1")
     other = means.select((1 - F.col("fold")).alias("fold"), "t", "t1", F.col("f").alias("honest"))
     same = F.col("a.t1").eqNullSafe(F.col("b.t1"))

@@ -143,8 +143,17 @@ LEARNED = f"""{SWAPS}, sw AS (SELECT extra, missing, count(*) AS n FROM (SELECT
     seen AS (SELECT word, count(*) AS n_copy FROM (SELECT unnest(y) AS word FROM pr) GROUP BY 1),
     best AS (SELECT extra AS word, missing, n FROM (SELECT *, row_number() OVER (PARTITION BY extra ORDER BY n DESC, missing) AS rn FROM sw) WHERE rn = 1),
     spell AS (SELECT word, missing FROM best JOIN ex USING (word) WHERE n >= 2 AND n >= 0.1::DOUBLE * n_extra)"""
+GRID = f"""one AS (SELECT o.s1, o.p, row_number() OVER (PARTITION BY o.s1 ORDER BY o.p DESC, o.s23) = 1 AS first, (u.s1 IS NOT NULL)::INT AS hit FROM own o LEFT JOIN truth u ON u.s1 = o.s1 AND u.s23 = o.s23),
+    g AS (SELECT * FROM (SELECT round(0.50 + 0.02 * i, 2)::DOUBLE AS t FROM range(21) r(i)), (SELECT round(0.40 + 0.04 * i, 2)::DOUBLE AS t1 FROM range(10) r(i) UNION ALL SELECT NULL) WHERE t1 IS NULL OR t1 < t),
+    c AS (SELECT s1, t, t1, count(*) AS n_pred, sum(hit) AS n_hit FROM one JOIN g ON p >= t OR (first AND p >= t1) GROUP BY ALL),
+    tr AS (SELECT s1, count(*) AS n_true FROM truth GROUP BY 1),
+    z AS (SELECT r.s1, g.t, g.t1, coalesce(n_pred, 0) AS n_pred, coalesce(n_hit, 0) AS n_hit, coalesce(n_true, 0) AS n_true FROM records r CROSS JOIN g LEFT JOIN tr ON tr.s1 = r.s1
+        LEFT JOIN c ON c.s1 = r.s1 AND c.t = g.t AND coalesce(c.t1, -1) = coalesce(g.t1, -1)),
+    m AS (SELECT (s1::HUGEINT * 2654435761 % 4294967296 // 65536 % 2)::INT AS fold, t, t1, round(avg({_f05('n_pred', 'n_true', 'n_hit')}), 9) AS f FROM z GROUP BY ALL),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY f DESC, t, t1 NULLS FIRST) AS rn FROM m) WHERE rn = 1)"""
 
 SQL = {
+    "honest_grid": f"WITH {PAIRS}, {TRUTH}, {RECORDS}, {OWN}, {GRID} SELECT b.fold, b.t, b.t1, round(b.f, 6) AS picked, round(o.f, 6) AS honest FROM best b JOIN m o ON o.fold = 1 - b.fold AND o.t = b.t AND coalesce(o.t1, -1) = coalesce(b.t1, -1)",
     "rival_keys": f"WITH {RIVAL} SELECT doc_id, plain, array_to_string(list_filter(w, lambda x: NOT list_contains({rules.RIVAL_STOP_WORDS}, x)), ' ') AS key FROM r3",
     "field_quota": f"WITH {FIELDS} SELECT p.p_partkey, p.field, p.gram FROM placed p LEFT JOIN other o ON o.p_partkey = p.p_partkey AND o.field <> p.field WHERE p.place <= greatest(p.quota, 14 - coalesce(o.took, 0))",
     "learned_words": f"WITH {LEARNED} SELECT word, 'map' AS kind, missing AS target FROM spell UNION ALL SELECT word, 'noise', '' FROM ex JOIN seen USING (word) WHERE n_extra >= 2 AND n_extra >= 0.6::DOUBLE * n_copy AND word NOT IN (SELECT word FROM spell)",
