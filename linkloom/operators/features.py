@@ -152,3 +152,32 @@ def word_difference(pairs: DataFrame, a: str, b: str) -> DataFrame:
     x, y = text.words(F.col(a)), text.words(F.col(b))
     added, lost = F.array_except(y, x), F.array_except(x, y)
     return pairs.withColumns({"n_common": F.size(F.array_intersect(x, y)), "n_added": F.size(added), "n_lost": F.size(lost), "added": F.array_join(F.array_sort(added), " "), "lost": F.array_join(F.array_sort(lost), " ")})
+
+
+def word_difference_features(pairs: DataFrame, group: str = "s1") -> DataFrame:
+    """pairs (group, core1, legal1, name1, core2, legal2) with the 16 wd_ columns; nulls count as empty.
+
+    Side 1 is the record, side 2 the copy. wd_rank_add is the copy's rank among the record's copies by
+    added words, equal ones sharing the least rank.
+    """
+    x, y, name = (text.words(F.col(c)) for c in ("core1", "core2", "name1"))
+    added, lost, both = F.array_except(y, x), F.array_except(x, y), F.array_intersect(x, y)
+    flag = lambda c: c.cast("double")
+    count = lambda a, of=None: flag(F.size(a if of is None else F.filter(a, of)))
+    one_for_many = (F.size(y) == 1) & (F.size(x) > 1)
+    firsts = lambda w: F.array_join(F.transform(w, lambda v: F.substring(v, 1, 1)), "")
+    only = F.array_join(y, "")
+    legal1, legal2 = text.text_or_empty(F.col("legal1")), text.text_or_empty(F.col("legal2"))
+    cols = {
+        "wd_add": count(added), "wd_miss": count(lost), "wd_common": count(both),
+        "wd_add_short": count(added, lambda w: F.length(w) <= 3), "wd_add_long": count(added, lambda w: F.length(w) > 3),
+        "wd_first_eq": flag(F.coalesce(F.get(x, F.lit(0)) == F.get(y, F.lit(0)), F.lit(False))),
+        "wd_order_eq": flag(F.filter(y, lambda w: F.array_contains(x, w)) == F.filter(x, lambda w: F.array_contains(y, w))),
+        "wd_acronym": flag(one_for_many & ((only == firsts(x)) | (only == firsts(name)))),
+        "wd_concat": flag(one_for_many & ((only == F.array_join(x, "")) | (only == F.array_join(name, "")))),
+        "wd_legal_diff": flag((legal1 != "") & (legal2 != "") & (legal1 != legal2)),
+        "wd_legal_b_only": flag((legal2 != "") & (legal1 == "")), "wd_legal_x_only": flag((legal1 != "") & (legal2 == "")),
+        "wd_jacc": count(both) / F.greatest(count(F.array_union(x, y)), F.lit(1.0)), "wd_b_ntok": count(y), "wd_x_ntok": count(x),
+    }
+    ranked = ranking.added_word_rank(pairs.withColumns(cols), "wd_add", group, "wd_rank_add")
+    return ranked.withColumn("wd_rank_add", flag(F.col("wd_rank_add")))

@@ -151,8 +151,23 @@ GRID = f"""one AS (SELECT o.s1, o.p, row_number() OVER (PARTITION BY o.s1 ORDER
         LEFT JOIN c ON c.s1 = r.s1 AND c.t = g.t AND coalesce(c.t1, -1) = coalesce(g.t1, -1)),
     m AS (SELECT (s1::HUGEINT * 2654435761 % 4294967296 // 65536 % 2)::INT AS fold, t, t1, round(avg({_f05('n_pred', 'n_true', 'n_hit')}), 9) AS f FROM z GROUP BY ALL),
     best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY f DESC, t, t1 NULLS FIRST) AS rn FROM m) WHERE rn = 1)"""
+WORDS_APART = f"""n AS (SELECT p_brand AS s1, p_partkey AS s23, lower(p_name) AS n, CASE WHEN p_size % 3 > 0 THEN lower(substr(p_type, 1, 2)) ELSE '' END AS legal, p_size AS size FROM part),
+    f AS (SELECT s1, n AS core1, legal AS legal1, n || ' ' || legal AS name1 FROM n WHERE s23 IN (SELECT min(s23) FROM n GROUP BY s1)),
+    c AS (SELECT n.s1, s23, core1, legal1, trim(name1) AS name1, legal AS legal2, CASE size % 5 WHEN 0 THEN replace(core1, ' ', '') WHEN 1 THEN regexp_replace(trim(name1), '(\\w)\\w* ?', '\\1', 'g') ELSE n END AS core2 FROM n JOIN f USING (s1)),
+    w AS (SELECT *, {_words('core1')} AS x, {_words('core2')} AS y, {_words('name1')} AS z FROM c),
+    v AS (SELECT *, list_distinct(list_filter(y, lambda q: NOT list_contains(x, q))) AS a, list_distinct(list_filter(x, lambda q: NOT list_contains(y, q))) AS m,
+        list_distinct(list_filter(x, lambda q: list_contains(y, q))) AS b, len(y) = 1 AND len(x) > 1 AS lone FROM w)"""
 
 SQL = {
+    "word_difference_features": f"""WITH {WORDS_APART} SELECT s1, s23, len(a)::DOUBLE AS wd_add, len(m)::DOUBLE AS wd_miss, len(b)::DOUBLE AS wd_common,
+        len(list_filter(a, lambda q: length(q) <= 3))::DOUBLE AS wd_add_short, len(list_filter(a, lambda q: length(q) > 3))::DOUBLE AS wd_add_long,
+        (len(x) > 0 AND len(y) > 0 AND x[1] = y[1])::INT::DOUBLE AS wd_first_eq,
+        (list_filter(y, lambda q: list_contains(x, q)) = list_filter(x, lambda q: list_contains(y, q)))::INT::DOUBLE AS wd_order_eq,
+        (lone AND y[1] IN (array_to_string(list_transform(x, lambda q: q[1]), ''), array_to_string(list_transform(z, lambda q: q[1]), '')))::INT::DOUBLE AS wd_acronym,
+        (lone AND y[1] IN (replace(core1, ' ', ''), replace(name1, ' ', '')))::INT::DOUBLE AS wd_concat,
+        (legal1 <> '' AND legal2 <> '' AND legal1 <> legal2)::INT::DOUBLE AS wd_legal_diff, (legal2 <> '' AND legal1 = '')::INT::DOUBLE AS wd_legal_b_only, (legal1 <> '' AND legal2 = '')::INT::DOUBLE AS wd_legal_x_only,
+        len(b)::DOUBLE / greatest(len(a) + len(m) + len(b), 1) AS wd_jacc, len(y)::DOUBLE AS wd_b_ntok, len(x)::DOUBLE AS wd_x_ntok,
+        rank() OVER (PARTITION BY s1 ORDER BY len(a))::DOUBLE AS wd_rank_add FROM v""",
     "honest_grid": f"WITH {PAIRS}, {TRUTH}, {RECORDS}, {OWN}, {GRID} SELECT b.fold, b.t, b.t1, round(b.f, 6) AS picked, round(o.f, 6) AS honest FROM best b JOIN m o ON o.fold = 1 - b.fold AND o.t = b.t AND coalesce(o.t1, -1) = coalesce(b.t1, -1)",
     "rival_keys": f"WITH {RIVAL} SELECT doc_id, plain, array_to_string(list_filter(w, lambda x: NOT list_contains({rules.RIVAL_STOP_WORDS}, x)), ' ') AS key FROM r3",
     "field_quota": f"WITH {FIELDS} SELECT p.p_partkey, p.field, p.gram FROM placed p LEFT JOIN other o ON o.p_partkey = p.p_partkey AND o.field <> p.field WHERE p.place <= greatest(p.quota, 14 - coalesce(o.took, 0))",

@@ -456,6 +456,16 @@ def word_difference(spark, d):
     return features.word_difference(p, "a", "b")
 
 
+def word_difference_features(spark, d):
+    """The 16 columns of part names against their brand's first one; some copies are joined up or initials."""
+    legal = F.when(F.col("p_size") % 3 > 0, F.lower(F.substring("p_type", 1, 2)))
+    n = load(spark, d, "part").select(F.col("p_brand").alias("s1"), F.col("p_partkey").alias("s23"), F.lower("p_name").alias("n"), legal.alias("legal"), F.col("p_size").alias("size"))
+    first = n.groupBy("s1").agg(F.min_by(F.struct("n", "legal"), "s23").alias("x")).select("s1", F.col("x.n").alias("core1"), F.col("x.legal").alias("legal1"), F.concat_ws(" ", "x.n", "x.legal").alias("name1"))
+    copy = F.when(F.col("size") % 5 == 0, F.replace("core1", F.lit(" "), F.lit(""))).when(F.col("size") % 5 == 1, F.regexp_replace("name1", r"(\w)\w* ?", "$1")).otherwise(F.col("n"))
+    pairs = n.join(first, "s1").select("s1", "s23", "core1", "legal1", "name1", copy.alias("core2"), F.col("legal").alias("legal2"))
+    return features.word_difference_features(pairs).drop("core1", "legal1", "name1", "core2", "legal2")
+
+
 def word_map_learning(spark, d):
     """How often a word replaces another between part names of one brand and type."""
     n = load(spark, d, "part").select(F.concat_ws("|", "p_brand", "p_type").alias("k"), "p_partkey", F.lower("p_name").alias("n"))

@@ -143,3 +143,19 @@ def test_pair_features_by_hand(spark):
     assert (a.key_acronym, b.key_acronym) == (1, 0) and (a.name_noise_added, b.name_noise_added) == (0, 1)
     assert (a.n_same_name_candidates, b.n_same_name_candidates, got[1, 13].n_same_name_candidates) == (1, 0, 1)
     assert a.first_number_equal == 1 and got[1, 13].num_conflict == 1 and b.addr_ratio is None
+
+
+def test_word_difference_features_by_hand(spark):
+    from linkloom.operators import features
+
+    pairs = spark.createDataFrame(
+        [(1, 1, "blue red sky", "llc", "blue red sky llc", "sky blue tower", "inc"), (1, 2, "blue red sky", "llc", "blue red sky llc", "brsl", None),
+         (1, 3, "blue red sky", "llc", "blue red sky llc", "blueredsky", ""), (2, 4, None, None, None, None, "inc"), (1, 5, "blue red sky", "llc", "blue red sky llc", "blue red sky", "llc")],
+        "s1 long, s23 long, core1 string, legal1 string, name1 string, core2 string, legal2 string")
+    got = {r.s23: r for r in features.word_difference_features(pairs).collect()}
+    a = got[1]
+    assert (a.wd_add, a.wd_miss, a.wd_common, a.wd_add_short, a.wd_add_long) == (1, 1, 2, 0, 1) and a.wd_jacc == 0.5
+    assert (a.wd_first_eq, a.wd_order_eq, a.wd_legal_diff, a.wd_b_ntok, a.wd_x_ntok) == (0, 0, 1, 3, 3)
+    assert (got[2].wd_acronym, got[2].wd_concat, got[2].wd_legal_x_only) == (1, 0, 1) and (got[3].wd_acronym, got[3].wd_concat) == (0, 1)
+    assert (got[4].wd_legal_b_only, got[4].wd_jacc, got[4].wd_first_eq, got[4].wd_rank_add) == (1, 0, 0, 1)
+    assert [got[i].wd_rank_add for i in (5, 1, 2, 3)] == [1, 2, 2, 2] and (got[5].wd_order_eq, got[5].wd_legal_diff) == (1, 0)
