@@ -6,7 +6,7 @@ orders; names = part and supplier names; texts = documents against benchmark pas
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import similarity, text
@@ -416,9 +416,21 @@ def _names(spark, d):
 
 
 def levenshtein_similarity(spark, d):
-    a = load(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("a"), "s_nationkey")
-    b = load(spark, d, "customer").select("c_custkey", F.col("c_name").alias("b"), "c_nationkey")
-    return a.join(b, F.col("s_nationkey") == F.col("c_nationkey")).select("s_suppkey", "c_custkey", F.round(similarity.levenshtein_similarity(F.col("a"), F.col("b")), 6).alias("sim"))
+    """Each two names of a nation are compared once, then spread to all keys that hold them."""
+    a = load(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("a"), F.col("s_nationkey").alias("nation"))
+    b = load(spark, d, "customer").select("c_custkey", F.col("c_name").alias("b"), F.col("c_nationkey").alias("nation"))
+
+    def held(rows, key, name):
+        """A row per nation, name and up to 4096 of its keys."""
+        n = F.row_number().over(Window.partitionBy("nation", name).orderBy(key))
+        return rows.where("nation IS NOT NULL").withColumn("part", F.floor((n - 1) / 4096)).groupBy("nation", name, "part").agg(F.collect_list(key).alias(key)).drop("part")
+
+    # the pairs are far more than the tables' bytes tell and nations are few, so customers' names are dealt to all tasks
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one = held(a, "s_suppkey", "a").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(parts, "nation", "deal")
+    two = held(b, "c_custkey", "b").withColumn("deal", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int")).repartition(parts, "nation", "deal")
+    pairs = one.join(two, ["nation", "deal"]).select("s_suppkey", "c_custkey", F.round(similarity.levenshtein_similarity(F.col("a"), F.col("b")), 6).alias("sim"))
+    return pairs.withColumn("s_suppkey", F.explode("s_suppkey")).withColumn("c_custkey", F.explode("c_custkey"))
 
 
 def _name_pairs(spark, d):

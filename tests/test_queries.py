@@ -96,3 +96,17 @@ def test_gbdt_scores_use_the_operators_rounds_and_stop_early(spark, monkeypatch)
         queries.gbdt_scores(spark, SF)
     rows, kw = seen[0]
     assert kw == {"validation": "stop"} and {r.stop for r in rows.select("stop").distinct().collect()} == {False, True}
+
+
+def test_levenshtein_of_names_that_many_hold(spark, tmp_path):
+    """As the SQL says, in all tasks, and a name that many rows hold is compared once (below the rows that it spreads to)."""
+    con = duckdb.connect()
+    con.execute("create table supplier as select i as s_suppkey, case when i % 7 > 0 then 'Supplier ' || i % 5 end as s_name, case when i % 11 > 0 then i % 3 end as s_nationkey from range(60) t(i)")
+    con.execute("create table customer as select i as c_custkey, case when i % 6 > 0 then 'Customer#' || i % 4 else '' end as c_name, i % 3 as c_nationkey from range(90) t(i)")
+    for t in ("supplier", "customer"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
+    df = queries.levenshtein_similarity(spark, str(tmp_path))
+    want = con.sql(oracles.SQL["levenshtein_similarity"]).fetchall()
+    assert sorted(tuple(map(said, r)) for r in df.collect()) == sorted(tuple(map(said, r)) for r in want)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Generate explode(c_custkey") < plan.index("levenshtein(")
