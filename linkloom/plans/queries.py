@@ -199,18 +199,24 @@ def work_estimate(spark, d):
     return blocking.work_estimate(blocking.pick_rare(w.where("side = 'q'"), ["id"]), df, ["id"])
 
 
-def _sides(spark, d):
-    w = _weights(spark, d)
+def _split(w):
     one = w.where("side = 'q'").select(F.col("id").alias("s1"), "gram", "w", "df", "n")
     two = w.where("side = 'd'").select(F.col("id").alias("s23"), (F.col("id") % 2 + 2).cast("int").alias("source"), "gram", "w", "df", "n")
     return one, two
 
 
-def blocking_forward(spark, d):
-    one, two = _sides(spark, d)
+def _sides(spark, d):
+    return _split(_weights(spark, d))
+
+
+def _forward(one, two):
     return blocking.search(blocking.pick_rare(one, ["s1"]), two, 15, query="s1", document="s23", per=["source"])
 
 
+def blocking_forward(spark, d):
+    return _forward(*_sides(spark, d))
+
+
 def blocking_reverse(spark, d):
     one, two = _sides(spark, d)
     return blocking.search(blocking.pick_rare(two, ["s23"]), one, 10, query="s23", document="s1", coverage=0.7)
@@ -230,9 +236,11 @@ def pair_cosine(spark, d):
 
 
 def sibling_support(spark, d):
-    _, two = _sides(spark, d)
-    scored = blocking_forward(spark, d).select("s1", "s23", F.col("score").alias("p"))
-    return vectors.centroid_support(scored, two.select("s23", "gram", "w")).select("s1", "s23", F.round("others", 6).alias("others"), F.round("support", 5).alias("support"))
+    # read several times below, so the weights are computed once
+    w = steps.written(_weights(spark, d).drop("tf"), "weights")
+    scored = steps.written(_forward(*_split(w)).select("s1", "s23", F.col("score").alias("p")), "siblings")
+    weights = w.where("side = 'd'").select(F.col("id").alias("s23"), "gram", "w")
+    return vectors.centroid_support(scored, weights).select("s1", "s23", F.round("others", 6).alias("others"), F.round("support", 5).alias("support"))
 
 
 def embedding_topk(spark, d):

@@ -110,3 +110,8 @@ def test_levenshtein_of_names_that_many_hold(spark, tmp_path):
     assert sorted(tuple(map(said, r)) for r in df.collect()) == sorted(tuple(map(said, r)) for r in want)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("Generate explode(c_custkey") < plan.index("levenshtein(")
+
+
+def test_sibling_support_weighs_the_texts_once(spark):
+    files = queries.sibling_support(spark, SF).inputFiles()
+    assert files and not any("documents" in f or "benchmark" in f for f in files)
