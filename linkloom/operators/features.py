@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.similarity import best_match, levenshtein_similarity, similarities
-from linkloom.functions import rules, text
+from linkloom.functions import batch, rules, text
 from linkloom.operators import ranking, vectors
 from linkloom.sources.steps import written
 
@@ -55,19 +55,36 @@ def unseen_share(names: DataFrame, ids: str, name: str, vocabulary: DataFrame) -
     return names.select(ids).join(per, ids, "left").select(ids, F.coalesce("unseen", F.lit(0.0)).alias("unseen"))
 
 
-def _overlap(pairs: DataFrame, one: DataFrame, two: DataFrame, column: str, prefix: str) -> DataFrame:
-    """(s1, s23) of pairs with <prefix>_word_cosine, _char_cosine, _idf_jaccard of a text column."""
+def text_counts(s1: DataFrame, s23: DataFrame, word_map: dict[str, str] | None = None, noise: Sequence[str] = (), asked: DataFrame | None = None) -> DataFrame:
+    """(what, gram, df) over all rows of two clean tables: words of names, keys and addresses, 3-grams of names
+    and addresses. asked: (gram) words that are needed."""
+    key = batch.key_words(word_map, noise)
+
+    def texts(row: tuple) -> dict:
+        name, addr = row[0] or "", row[1] or ""
+        words = batch.words(name)
+        return {"word-name": words, "word-key": key(words), "word-addr": batch.words(addr), "char-name": name, "char-addr": addr}
+
+    return vectors.text_frequencies(s1.select("name_core", "addr_clean").unionByName(s23.select("name_core", "addr_clean")), texts, asked)
+
+
+def _overlap(pairs: DataFrame, one: DataFrame, two: DataFrame, column: str, prefix: str, counts: DataFrame, n: DataFrame) -> DataFrame:
+    """(s1, s23) of pairs with <prefix>_word_cosine, _char_cosine, _idf_jaccard of a text column; no
+    _char_cosine of keys. one, two: the pairs' rows; counts, n: over all rows."""
     both = one.select(F.concat(F.lit("a"), F.col("s1").cast("string")).alias("id"), F.col(column).alias("t")).unionByName(two.select(F.concat(F.lit("b"), F.col("s23").cast("string")).alias("id"), F.col(column).alias("t")))
-    n = one_row(both)
     out = pairs
     for kind, grams in (("word", text.words(F.col("t"))), ("char", vectors.char_ngrams(F.col("t")))):
+        if (prefix, kind) == ("key", "char"):
+            continue
         post = vectors.postings(both, F.array_distinct(grams) if kind == "word" else grams, ["id"])
-        weights = written(vectors.tfidf(post, n, ["id"]), f"{prefix}-{kind}")
+        df = counts.where(F.col("what") == f"{kind}-{prefix}").select("gram", "df")
+        weights = written(vectors.tfidf(post, n, ["id"], frequencies=df), f"{prefix}-{kind}")
         side = lambda letter, name: weights.where(F.col("id").startswith(letter)).select(F.substring("id", 2, 30).cast("long").alias(name), "gram", "w")
         dots = vectors.pair_dot(pairs, side("a", "s1"), side("b", "s23")).withColumnRenamed("dot", f"{prefix}_{kind}_cosine")
         out = out.join(written(dots, f"{prefix}-{kind}-cosine"), ["s1", "s23"])
         if kind == "word":
-            own = vectors.shared_idf(pairs, side("a", "s1").drop("w"), side("b", "s23").drop("w"), vectors.word_idf(post, n)).withColumnRenamed("idf_jaccard", f"{prefix}_idf_jaccard")
+            rare = weights.select("gram", vectors.idf(F.col("df"), F.col("n")).alias("idf")).distinct()
+            own = vectors.shared_idf(pairs, side("a", "s1").drop("w"), side("b", "s23").drop("w"), rare).withColumnRenamed("idf_jaccard", f"{prefix}_idf_jaccard")
             own = own.withColumnsRenamed({"shared": f"_{prefix}_shared", "sum_a": f"_{prefix}_a", "sum_b": f"_{prefix}_b"})
             out = out.join(written(own, f"{prefix}-idf"), ["s1", "s23"])
     return out
@@ -79,16 +96,23 @@ def pair_features(candidates: DataFrame, s1: DataFrame, s23: DataFrame, word_map
     Competition is counted over all candidates; rescue rows keep rank -1. word_map and noise are the
     learned words (learning.word_lists); without them name_noise_added is 0.
     """
-    # each is read many times below; as tables they are leaves of short plans
-    one, two, candidates = written(records(s1, "s1", word_map, noise), "s1"), written(records(s23, "s23", word_map, noise), "s23"), written(candidates, "candidates")
+    # each is read many times below; as tables they are leaves of short plans. Frequencies and the vocabulary
+    # are of all rows; what else a row gives is made for the candidates' rows only
+    candidates = written(candidates, "candidates")
     base = candidates.select("s1", "s23")
-    vocabulary = one.select(F.explode(text.words(F.col("core"))).alias("word"))
+    named = lambda rows, row: written(records(rows.join(base.select(row).distinct(), row, "left_semi"), row, word_map, noise), row)
+    one, two = named(s1, "s1"), named(s23, "s23")
+    texts = lambda rows: rows.select(F.explode(F.array_distinct(F.flatten(F.array(*[text.words(F.col(c)) for c in ("core", "key", "addr")])))).alias("gram"))
+    asked = written(texts(one).unionByName(texts(two)).distinct(), "asked")
+    counts = written(text_counts(s1, s23, word_map, noise, asked), "counts")
+    n = written(one_row(s1.select("s1").unionByName(s23.select(F.col("s23").alias("s1")))), "n")
+    vocabulary = s1.select(F.explode(text.words(F.col("name_core"))).alias("word"))
     fuzzy1 = written(fuzzy_legal_bits(one, "clean", "s1").withColumnRenamed("fuzzy", "fuzzy1"), "fuzzy1")
     fuzzy2 = written(fuzzy_legal_bits(two, "clean", "s23").withColumnRenamed("fuzzy", "fuzzy2"), "fuzzy2")
     unseen = written(unseen_share(two, "s23", "core", vocabulary).withColumnRenamed("unseen", "s23_unseen_words"), "unseen")
     rows = ranking.competition(candidates.join(two.select("s23", F.col("core").alias("_core")), "s23"), "best_score", "source", "_core").drop("_core")
     for column, prefix in (("core", "name"), ("key", "key"), ("addr", "addr")):
-        rows = rows.join(_overlap(base, one, two, column, prefix), ["s1", "s23"])
+        rows = rows.join(_overlap(base, one, two, column, prefix, counts, n), ["s1", "s23"])
     rows = written(rows, "overlap")
     a = one.select("s1", *[F.col(c).alias(f"{c}1") for c in one.columns if c != "s1"])
     b = two.select("s23", *[F.col(c).alias(f"{c}2") for c in two.columns if c != "s23"])
@@ -136,7 +160,7 @@ def pair_features(candidates: DataFrame, s1: DataFrame, s23: DataFrame, word_map
     }
     rows = rows.withColumns(cols)
     drop = [c for c in rows.columns if c.startswith("_") or (c[-1] in "12" and c[:-1] in (*one.columns, "fuzzy"))]
-    return rows.drop(*drop, "key_char_cosine")
+    return rows.drop(*drop)
 
 
 def collective_features(pairs: DataFrame, name_weights: DataFrame, addr_weights: DataFrame, p: str = "p") -> DataFrame:

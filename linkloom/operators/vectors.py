@@ -6,18 +6,25 @@ A posting is a row (id, gram, ...); nothing is keyed by a vocabulary on the driv
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.functions import batch
 from linkloom.functions.text import number_words, words
 from linkloom.operators.blocking import top_k
 
 #: Rows of a block of vectors, and those of it that meet another block at once.
 BLOCK, TOGETHER = 8192, 512
+#: Words that a task counts before it passes its counts on.
+COUNTED = 1 << 20
+#: Words up to which only these are counted: they are sent to all tasks.
+ASKED = 1 << 19
 
 
 def char_ngrams(c: Column, n: int = 3) -> Column:
@@ -44,6 +51,46 @@ def document_frequency(post: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     return post.groupBy(*scope, "gram").agg(F.count("*").alias("df"))
 
 
+def text_frequencies(rows: DataFrame, texts: Callable[[tuple], dict], asked: DataFrame | None = None) -> DataFrame:
+    """(what, gram, df): in how many rows a word or 3-gram is. texts makes a row's tuple into what is counted, by name:
+    words in a list, or a text for its char_ngrams.
+
+    Tasks count what they hold, so a gram is shuffled once for each of them, not for each row. asked: (gram)
+    words whose counts are needed; others are left out unless these are more than ASKED.
+    """
+    few = asked.limit(ASKED + 1).toArrow()["gram"].to_pylist() if asked is not None else []
+    sent = rows.sparkSession.sparkContext.broadcast(frozenset(few) if asked is not None and len(few) <= ASKED else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, counts, kinds = sent.value, {}, {}
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            for what, count in counts.items():
+                grams = batch.spelled(np.array(list(count), np.int64)) if kinds[what] is str else list(count)
+                yield pa.RecordBatch.from_arrays([pa.array([what] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(list(count.values()), pa.int64())], ["what", "gram", "df"])
+            counts.clear()
+
+        for b in batches:
+            made = [texts(r) for r in zip(*[c.to_pylist() for c in b.columns])]
+            kinds.update({what: type(x) for what, x in made[0].items()} if made else {})
+            for what, kind in kinds.items() if made else ():
+                all_, count = [m[what] for m in made], counts.setdefault(what, Counter())
+                if kind is not str:
+                    for w in all_:
+                        count.update(set(w) if wanted is None else wanted.intersection(w))
+                    continue
+                for s in batch.together(all_):
+                    _, gram, _ = batch.char_ngrams(all_[s])
+                    gram, df = np.unique(gram, return_counts=True)
+                    for g, n in zip(gram.tolist(), df.tolist()):
+                        count[g] += n
+            if sum(map(len, counts.values())) > COUNTED:
+                yield from passed()
+        yield from passed()
+
+    return rows.mapInArrow(run, "what string, gram string, df long").groupBy("what", "gram").agg(F.sum("df").alias("df"))
+
+
 def idf(df: Column, n: Column) -> Column:
     return F.log((1 + n) / (1 + df)) + 1
 

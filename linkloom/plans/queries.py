@@ -6,10 +6,11 @@ orders; names = part and supplier names; texts = documents against benchmark pas
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkloom.functions import similarity, text
+from linkloom.functions import batch, similarity, text
 from linkloom.functions.translit import fold_latin, latin_udf
 from linkloom.operators import blocking, decisions, evaluation, features, learning, ranking, rivals, vectors
 from linkloom.sources import steps, tsv
@@ -508,21 +509,28 @@ def gbdt_scores(spark, d):
     return learning.cross_fit(rows.withColumnRenamed("p", "score"), names, validation="stop").select("s1", "s23", "p", "label")
 
 
+def _named(batches):
+    """For mapInArrow: (id, text) to a clean table's rows."""
+    for b in batches:
+        parts = [pa.array(c, pa.string()) for c in zip(*[batch.clean_row(batch.clean(t)) for t in b.column(1).to_pylist()])] or [pa.array([], pa.string())] * 4
+        yield pa.RecordBatch.from_arrays([b.column(0), *parts], ["id", "name_clean", "name_core", "legal_form", "addr_clean"])
+
+
 def _proposed(spark, d):
     """(candidates, passages, documents): what the search proposes to the benchmark's passages among all documents."""
     def table(rows, row):
-        named = rows.withColumn("parts", text.name_struct(F.col("t"))).select(row, "parts.*", text.clean_address(F.col("t")).alias("addr_clean"))
-        return steps.written(named, row)
-
-    one = table(_passages(spark, d), "s1")
-    two = table(_clean(spark, d).withColumnRenamed("doc_id", "s23"), "s23")
-    names = lambda rows, row: rows.select(row, F.col("name_core").alias("t"))
-    both = names(one, "s1").select(F.lit("q").alias("side"), F.col("s1").alias("id"), "t").unionByName(names(two, "s23").select(F.lit("d").alias("side"), F.col("s23").alias("id"), "t"))
-    w = steps.written(vectors.tfidf(vectors.postings(both, vectors.char_ngrams(F.col("t")), ["side", "id"]), features.one_row(both), ["side", "id"]), "weights")
-    a = w.where("side = 'q'").select(F.col("id").alias("s1"), "gram", "w", "df")
-    b = w.where("side = 'd'").select(F.col("id").alias("s23"), (F.col("id") % 2 + 2).cast("int").alias("source"), "gram", "w", "df")
-    cand = blocking.combine_and_trim(blocking.retrieve(a, b, n_docs=features.one_row(both)), ["name_addr_fwd", "name_addr_rev"])
-    return cand.withColumn("source", (F.col("s23") % 2 + 2).cast("int")), one, two
+        # by row, so that a file of few row groups is dealt to all tasks too
+        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+        return steps.written(rows.mapInArrow(_named, "id long, name_clean string, name_core string, legal_form string, addr_clean string").withColumnRenamed("id", row), row)
+
+    one = table(load(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("id"), "text"), "s1")
+    two = table(_docs(spark, d).select(F.col("doc_id").cast("long").alias("id"), "text"), "s23")
+    both = one.select(F.col("name_core").alias("t")).unionByName(two.select(F.col("name_core").alias("t")))
+    known = vectors.text_frequencies(both, lambda r: {"char": r[0] or ""}).select("gram", "df")
+    source = (F.col("s23") % 2 + 2).cast("int").alias("source")
+    hits = blocking.retrieve_texts(one.select("s1", F.col("name_core").alias("t")), two.select("s23", source, F.col("name_core").alias("t")), known, both.count())
+    cand = blocking.combine_and_trim(hits, ["name_addr_fwd", "name_addr_rev"])
+    return cand.withColumn("source", source), one, two
 
 
 def pair_features(spark, d):

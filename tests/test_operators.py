@@ -179,3 +179,50 @@ def test_monte_carlo_record_by_record(spark, miss):
     df = decisions.monte_carlo(spark.createDataFrame(data, "s1 long, s23 long, p double").repartition(3), miss=miss)
     assert sorted(tuple(r) for r in df.collect()) == sorted(want)
     assert "FlatMapGroups" not in df._jdf.queryExecution().toString()
+
+
+def test_batches_clean_as_columns(spark):
+    """The rules over batches in Python against the column expressions."""
+    from linkloom.functions import batch, text
+    from linkloom.operators import vectors
+
+    parts = ["M/S Foo", "m s", "messrs", "A.B.C.", "x.y", "l l c", "p l c ltd", "Pra. Li.", "new york", "west  virginia", "new", "st", "Californiá", "ＡＢ", "Straße", "İzmir", "don't", "007", "000", "f0od", "123456",
+             "https://www.Foo-bar.co.in/x", "a.foo.com²", "xhttp://z.org", "fr.com", "é.com", "१२.com", "n\u0303o", "&", "no", "h0use", "l2ve5", "lndia", "inc", "company", "\t", "\u00a0", "—", "दिल्ली", "e\u0301", "Σας", "", "0", "a0b0c"]
+    rng = np.random.default_rng(5)
+    texts = [None, "", " ", "ltd", "m s", "messrs x", *parts] + [" ".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(400)] + ["".join(rng.choice(parts, 3)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("t", text.basic_clean(F.col("text"), native=True))
+    core = text.name_struct(F.col("t"))
+    rows = df.select("id", "t", core["name_clean"], core["name_core"], core["legal_form"], text.clean_address(F.col("t")), text.name_key(core["name_core"], {"foo": "bar"}, ["new"])).orderBy("id").collect()
+    key = batch.key_words({"foo": "bar"}, ["new"])
+    for r, given in zip(rows, texts):
+        t = batch.clean(given)
+        got = batch.clean_row(t)
+        assert (t, *got, " ".join(key(batch.words(got[1])))) == tuple(r)[1:], given
+    odd = ["ab cab  b", "", "é 世界人 ab", "a"]
+    post = vectors.postings(spark.createDataFrame(list(enumerate(odd)), "id long, t string"), vectors.char_ngrams(F.col("t")), ["id"])
+    for some in (odd, [t if t.isascii() else "" for t in odd]):
+        row, gram, tf = batch.char_ngrams(some)
+        assert set(zip(row.tolist(), batch.spelled(gram), tf.tolist())) == {tuple(r) for r in post.collect() if some[r.id]}
+
+
+@pytest.mark.parametrize("asked, letters", [(4096, 1 << 20), (7, 200)])
+def test_retrieve_texts_as_from_weights(spark, monkeypatch, asked, letters):
+    """The search by arrays against the one by joins, in one block and in several."""
+    from linkloom.functions import batch
+    from linkloom.operators import blocking, features, vectors
+
+    monkeypatch.setattr(blocking, "ASKED", asked)
+    monkeypatch.setattr(batch, "TOGETHER", letters)
+    rng = np.random.default_rng(8)
+    lexicon = ["".join(rng.choice(list("abcdefg0"), rng.integers(1, 8))) for _ in range(150)]
+    name = lambda n: " ".join(dict.fromkeys(rng.choice(lexicon, n)))
+    one = spark.createDataFrame([(i, name(6)) for i in range(25)] + [(90, ""), (91, None)], "s1 long, t string")
+    two = spark.createDataFrame([(i, i % 2 + 2, name(1 + i % 30)) for i in range(300)] + [(900, 2, ""), (901, 3, None)], "s23 long, source int, t string")
+    both = one.select(F.lit("q").alias("side"), F.col("s1").alias("id"), "t").unionByName(two.select(F.lit("d").alias("side"), F.col("s23").alias("id"), "t"))
+    w = vectors.tfidf(vectors.postings(both, vectors.char_ngrams(F.col("t")), ["side", "id"]), features.one_row(both), ["side", "id"])
+    b = w.where("side = 'd'").select(F.col("id").alias("s23"), (F.col("id") % 2 + 2).cast("int").alias("source"), "gram", "w", "df")
+    want = blocking.retrieve(w.where("side = 'q'").select(F.col("id").alias("s1"), "gram", "w", "df"), b, n_docs=features.one_row(both)).collect()
+    known = vectors.text_frequencies(both.select("t"), lambda r: {"char": r[0] or ""}).select("gram", "df")
+    got = blocking.retrieve_texts(one, two, known, both.count()).collect()
+    near = lambda rows: sorted((r.s1, r.s23, r.method, round(r.score, 4), r["rank"]) for r in rows)
+    assert near(got) == near(want) and len(got) > 1000
