@@ -536,3 +536,18 @@ def test_substrings_alike_only_to_an_explained_one(spark, monkeypatch, few):
     assert {(2 * n + k, n + k) for k in range(n)} <= set(got)
     assert set(got) <= {x for k in range(n) for x in ((n + k, k), (2 * n + k, n + k))}
     assert all(r.similarity == 47 / 57 for r in got.values())
+
+
+@pytest.mark.parametrize("bytes_", [1 << 24, 2000])
+def test_same_stretches_are_compared_once(monkeypatch, bytes_):
+    """Each once if all are remembered, and with the same result if they are not."""
+    calls, alike = [], substring_dedup._alike
+    monkeypatch.setattr(substring_dedup, "REMEMBERED", bytes_)
+    monkeypatch.setattr(substring_dedup, "_alike", lambda *a: calls.append(a) or alike(*a))
+    rng = np.random.default_rng(4)
+    x = [rng.integers(0, 1 << 32, 60).astype("<u4") for _ in range(4)]
+    asked = [(a.tobytes(), np.r_[np.arange(k, dtype="<u4"), b].tobytes(), k) for a in x for b in x for k in (0, 3)] * 3
+    compared = substring_dedup._comparing(46, 2 * 0.8 / 1.8, 0.8)
+    got = [compared(*a) for a in asked]
+    assert got == [alike(*a, 46, 2 * 0.8 / 1.8, 0.8) for a in asked] and sum(map(len, got)) == 24
+    assert len(calls) == 32 if bytes_ > 2000 else 32 < len(calls) <= 96
