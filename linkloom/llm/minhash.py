@@ -190,6 +190,25 @@ def _pairs_within(key: np.ndarray, skip) -> Iterator[tuple[np.ndarray, np.ndarra
         distance += 1
 
 
+def _pairs_across(key: np.ndarray, comp: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows with the same key and different components, some rows' pairs at a time; pairs of one
+    component, most of a large group's, are never made."""
+    order = np.lexsort((comp, key))
+    key, comp = key[order], comp[order]
+    turn = np.r_[True, key[1:] != key[:-1]]
+    ends = lambda new: np.repeat(np.r_[np.flatnonzero(new)[1:], len(key)], np.diff(np.r_[np.flatnonzero(new), len(key)]))
+    after = ends(turn | np.r_[True, comp[1:] != comp[:-1]])
+    n = ends(turn) - after
+    made = np.cumsum(n)
+    lo = 0
+    while lo < len(key):
+        hi = max(lo + 1, int(np.searchsorted(made, made[lo] - n[lo] + most, "right")))
+        own = n[lo:hi]
+        i = np.repeat(np.arange(lo, hi), own)
+        yield order[i], order[np.arange(len(i)) + np.repeat(after[lo:hi] - np.cumsum(own) + own, own)]
+        lo = hi
+
+
 def _plausible(frame: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, equal registers): pairs across components that a band meets here first and whose likelihood is plausible."""
     x = np.frombuffer(b"".join(frame["sketch"]), "<u2").reshape(-1, REGISTERS)
@@ -197,12 +216,12 @@ def _plausible(frame: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.nd
     comp, n, block, band = (frame[c].to_numpy() for c in ("comp", "n_shingles", "block", "band"))
     crossed = (frame["p"] != frame["q"]).to_numpy()
     key = np.unique(frame[["bkey", "p", "q"]].to_numpy(), axis=0, return_inverse=True)[1].ravel()
-    skip = lambda i, j: (comp[i] == comp[j]) | (crossed[i] & (block[i] == block[j])) | (100 * np.minimum(n[i], n[j]) < round(100 * threshold) * np.maximum(n[i], n[j]))
     out = [(np.empty(0, np.int64),) * 3]
-    order = np.argsort(key, kind="stable")
-    for i, j in _pairs_within(key[order], lambda i, j: skip(order[i], order[j])):
+    for i, j in _pairs_across(key, comp):
+        ok = ~(crossed[i] & (block[i] == block[j])) & (100 * np.minimum(n[i], n[j]) >= round(100 * threshold) * np.maximum(n[i], n[j]))
+        i, j = i[ok], j[ok]
         for at in range(0, len(i), 16384):
-            a, b = order[i[at : at + 16384]], order[j[at : at + 16384]]
+            a, b = i[at : at + 16384], j[at : at + 16384]
             same = (bands[a] == bands[b]).all(axis=2)
             first = same.argmax(axis=1) == band[a]
             a, b = a[first], b[first]

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.llm import chat, embeddings, exact_dedup, language_id, minhash, mixing, packing, queries, substring_dedup, toxicity, url_filter
+from linkloom.llm import chat, common, embeddings, exact_dedup, language_id, minhash, mixing, packing, queries, substring_dedup, toxicity, url_filter
 from linkloom.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -551,3 +551,29 @@ def test_same_stretches_are_compared_once(monkeypatch, bytes_):
     got = [compared(*a) for a in asked]
     assert got == [alike(*a, 46, 2 * 0.8 / 1.8, 0.8) for a in asked] and sum(map(len, got)) == 24
     assert len(calls) == 32 if bytes_ > 2000 else 32 < len(calls) <= 96
+
+
+@pytest.mark.parametrize("few", [0, 1 << 19])
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch, few):
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, i) for i in range(2001, 2030)]
+    link = {frozenset(e) for e in edges}
+    ids = sorted({x for e in edges for x in e})
+    written, materialise = [], common.materialise
+    monkeypatch.setattr(common, "IN_MEMORY", few)
+    monkeypatch.setattr(common, "materialise", lambda df, name: written.append(name) or materialise(df, name))
+    got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = brute_components(ids, lambda a, b: frozenset((a, b)) in link)
+    assert got == {x: ids[root[i]] for i, x in enumerate(ids)}
+    assert len(written) == 1 if few else len(written) > 4
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 7, 1 << 18])
+def test_pairs_are_made_across_components_only(most):
+    rng = np.random.default_rng(4)
+    key, comp = rng.integers(0, 6, 90), np.where(rng.random(90) < 0.8, 0, rng.integers(1, 9, 90))
+    made = [(int(a), int(b)) for i, j in minhash._pairs_across(key, comp, most) for a, b in zip(i, j)]
+    want = {frozenset((a, b)) for a in range(90) for b in range(a) if key[a] == key[b] and comp[a] != comp[b]}
+    assert len(made) == len(want) and {frozenset(p) for p in made} == want
+    assert not list(minhash._pairs_across(key[:0], comp[:0]))
