@@ -577,3 +577,10 @@ def test_pairs_are_made_across_components_only(most):
     want = {frozenset((a, b)) for a in range(90) for b in range(a) if key[a] == key[b] and comp[a] != comp[b]}
     assert len(made) == len(want) and {frozenset(p) for p in made} == want
     assert not list(minhash._pairs_across(key[:0], comp[:0]))
+
+
+def test_ends_of_passages_off_the_diagonal():
+    x = np.arange(100, 160, dtype="<u4")
+    y = np.concatenate([np.arange(5), x[:30], [7], x[30:], [100]]).astype("<u4")  # moved by one in the middle; x[0] comes twice
+    assert substring_dedup._alike(x.tobytes(), y.tobytes(), 5, 46, 0.8, 0.8) == [(0, 5, 60, 61, 60 / 61)]
+    assert substring_dedup._alike(x.tobytes(), y.tobytes(), 6, 46, 0.8, 0.8) == [(0, 5, 60, 61, 60 / 61)]
