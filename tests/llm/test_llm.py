@@ -7,11 +7,13 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from linkloom.llm import chat, common, embeddings, exact_dedup, language_id, minhash, mixing, packing, queries, substring_dedup, toxicity, url_filter
 from linkloom.llm.common import components
+from linkloom.llm.words import shingles, word_hashes
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^ \t-\r]+")
@@ -584,3 +586,31 @@ def test_ends_of_passages_off_the_diagonal():
     y = np.concatenate([np.arange(5), x[:30], [7], x[30:], [100]]).astype("<u4")  # moved by one in the middle; x[0] comes twice
     assert substring_dedup._alike(x.tobytes(), y.tobytes(), 5, 46, 0.8, 0.8) == [(0, 5, 60, 61, 60 / 61)]
     assert substring_dedup._alike(x.tobytes(), y.tobytes(), 6, 46, 0.8, 0.8) == [(0, 5, 60, 61, 60 / 61)]
+
+
+def test_sequences_are_made_once(spark, monkeypatch):
+    """Copies by the representative, by pairs of values and by hashes of whole passages read the same table."""
+    rng = np.random.default_rng(5)
+    x = [" ".join(f"w{k}" for k in rng.integers(0, 10**6, 70)) for _ in range(3)]
+    rows = [(1, x[0]), (2, x[0] + " more"), (3, x[1]), (4, f"{x[2]} {x[1]}"), (5, "short text"), (5, x[2]), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made, sequences = [], substring_dedup.sequences
+    monkeypatch.setattr(substring_dedup, "sequences", lambda *a: made.append(a) or sequences(*a))
+    got = {(r.doc_id, r.start, r.n_words, r.other_id, r.other_start) for r in substring_dedup.repeated_passages(docs).collect()}
+    assert got == {(2, 0, 70, 1, 0), (4, 70, 70, 3, 0), (5, 0, 70, 4, 0)} and len(made) == 1
+    held = sequences(docs.selectExpr("doc_id AS doc", "text"), 46, 5).collect()
+    assert {r.id: len(r.seq) // 4 for r in held} == {1: 66, 2: 67, 3: 66, 4: 136, 5: 66} and len(held) == 5
+    words, first = word_hashes(pa.array([x[0]]))
+    want = (shingles(words, 5) >> np.uint64(32)).astype("<u4").tobytes()
+    assert all(bytes(r.seq)[: len(want)] == want for r in held if r.id < 3)
+
+
+def test_values_without_windows(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts_ = [" ".join(f"w{k}" for k in rng.integers(0, 50, n)) for n in (0, 49, 50, 51, 300, 3, 2000)] + [None, "a " * 120]
+    batch = pa.record_batch([pa.array(range(len(texts_))), pa.array(texts_)], ["doc", "text"])
+    monkeypatch.setattr(substring_dedup, "TOGETHER", 400)
+    want = [(i, n.tolist(), k.tolist()) for i, n, k, w in substring_dedup._keyed(batch, 46, 5)]
+    monkeypatch.setattr(substring_dedup, "_nearest_below", None)  # not needed for values alone
+    got = [(i, n.tolist(), k.tolist()) for i, n, k, w in substring_dedup._keyed(batch, 46, 5, False) if w is None]
+    assert got == want and len(got) > substring_dedup.HASHES
